@@ -26,10 +26,10 @@ def candidate_places(candidates: DataFrame) -> DataFrame:
     """Candidates with a place, stored once for the three checks that read them."""
     c = candidates.select(
         F.col("candidate_id").alias("pid"), "run_id", species_key(F.col("species")).alias("sp"), "macrocluster_id", "suppressed_by_id",
-        "suppression_distance_m", "id_a", "id_b", wkt.place(F.col("geometry")).alias("p"),
+        "suppression_distance_m", "id_a", "id_b", wkt.place("geometry").alias("p"),
     )
-    c = c.withColumn("p", wkt.upright(F.col("p"))).where(F.col("p.x").isNotNull() & F.col("p.y").isNotNull())
-    return stored(c.select("*", "p.x", "p.y").drop("p"), "places")
+    c = c.select("*", "p.x", "p.y").drop("p").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    return stored(c, "places")
 
 
 def wrong(recorded: Column, true: Column) -> Column:

@@ -10,12 +10,17 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import wkt
 from ..session import BROADCAST_BYTES, stored, stored_bytes
 
 
+#: Segments that one cell may hold, at most.
+_PER_CELL = 1 << 26
+
+
 def small(df: DataFrame) -> DataFrame:
     """Hint a stored table for broadcast if its files are provably small, else leave the join to a shuffle."""
     return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
@@ -85,7 +90,7 @@ def nearest(points: DataFrame, segments: DataFrame, key: str, cell_size: float |
     width = max(box["x1"], reach["x1"]) - min(box["x0"], reach["x0"])
     height = max(box["y1"], reach["y1"]) - min(box["y0"], reach["y0"])
     extent = max(width, height, 1.0)
-    size = min(cell_size or 3.0 * max((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"], 1.0) ** 0.5, extent)
+    size = min(cell_size or 2.0 * max((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"], 1.0) ** 0.5, extent)
     done: list[DataFrame] = []
     while True:
         last = size >= extent
@@ -106,12 +111,17 @@ def _one_round(points: DataFrame, s: DataFrame, key: str, size: float) -> DataFr
     for v in "xy":
         lo, hi = cell(F.least(f"{v}a", f"{v}b"), size) - 1, cell(F.greatest(f"{v}a", f"{v}b"), size) + 1
         cells = cells.withColumn(f"c{v}", F.explode(F.sequence(lo, hi)))
-    cells = stored(cells.select(key, "x1", "y1", "x2", "y2", "cx", "cy").distinct(), "segment_cells")
+    cells = cells.select(key, "x1", "y1", "x2", "y2", "cx", "cy").distinct()
+    order = Window.partitionBy("cx", "cy").orderBy(key, "x1", "y1", "x2", "y2")
+    cells = stored(cells.withColumn("nth", F.row_number().over(order).cast("long")), "segment_cells")
     p = points.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
     d = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-    tried = p.join(small(cells), ["cx", "cy"], "left").withColumn("distance", d)
-    best = F.min(F.when(F.col(key).isNotNull(), F.struct(F.round("distance", 3).alias("mm"), F.col(key).alias("k"), F.col("distance").alias("d"))))
-    return tried.groupBy("pid").agg(F.first("x").alias("x"), F.first("y").alias("y"), best.alias("b")).select("pid", "x", "y", F.col("b.k").alias(key), F.col("b.d").alias("distance"))
+    # A point has one cell, within which segments are numbered in the order of their keys: one long holds millimetres
+    # and number, so that the minimum is a hash aggregate on plain values instead of a sort of structs.
+    packed = F.round(d * 1000).cast("long") * _PER_CELL + F.col("nth")
+    tried = p.join(small(cells), ["cx", "cy"], "left")
+    best = tried.groupBy("pid", "x", "y", "cx", "cy").agg(F.min(packed).alias("best")).withColumn("nth", F.col("best") % _PER_CELL)
+    return best.join(small(cells), ["cx", "cy", "nth"], "left").select("pid", "x", "y", key, d.alias("distance"))
 
 
 def edges_of(regions: DataFrame, key: str, geometry: str) -> DataFrame:
