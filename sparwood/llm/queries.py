@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import groups, leaks, tokens, topn
+from . import groups, leaks, sentences, tokens, topn
 
 QUERIES = {
     "p3_found": topn.p3_found,
@@ -12,20 +12,12 @@ QUERIES = {
     "p6_counts": tokens.p6_counts,
     "p7_found": leaks.p7_found,
     "p7_spans": leaks.p7_spans,
+    "p8_found": sentences.p8_found,
+    "p8_sentences": sentences.p8_sentences,
 }
 
 _SPECIES = "nullif(regexp_replace(lower(regexp_replace(species, '^\\s+|\\s+$', '', 'g')), '[-\\s]', '_', 'g'), '')"
 
-_GROUPS = """
-WITH RECURSIVE links AS (
-  SELECT id_a AS a, id_b AS b FROM ecotones WHERE id_a IS NOT NULL AND id_b IS NOT NULL
-  UNION SELECT id_b, id_a FROM ecotones WHERE id_a IS NOT NULL AND id_b IS NOT NULL),
-reach(id, other) AS (
-  SELECT DISTINCT a, a FROM links
-  UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
-labels AS (SELECT id, min(other) AS group_id FROM reach GROUP BY id)
-"""
-
 ORACLE = {
     "p3_found": f"""
         SELECT candidate_id, CAST(place AS INTEGER) AS rank_macrocluster FROM (
