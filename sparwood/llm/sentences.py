@@ -23,12 +23,16 @@ _OURS = HARD + MARK + "\ue002" + BREAK + INLINE + "\ue005" + WHOLE + POINT + GAP
 
 TERMINATORS = ".!?…。！？｡؟।॥"
 
-# Abbreviations that never end a sentence, those that don't before a figure, months after an ordinal.
+# Abbreviations that never end a sentence, those that don't before a figure or a small letter, months after an ordinal.
 NEVER = (
     "dr dra mr mrs ms prof sgt capt lt col gen rev hon st mt ft sr sra srta jr vs cf viz vgl bzw ca evtl ggf inkl approx aprox pág vt e.g i.e s.t n.b u.a "
     "z d v n u i.d.r hr frl dipl ing bl tlk kd nn проф акад им ул гр тов т.е т.к т.н د أ م डॉ श्री श्रीमती कि.मी मि.मी से.मी"
 )
 BEFORE_FIGURE = "no nos nr nrs p pp fig figs vol ch sec abb s lk art cap tab kap str стр рис табл гл ок п см № núm págs ks jt u"
+BEFORE_SMALL = (
+    "etc jne jms usw usf u.a z.b a.m p.m am pm in ft oz lb sq mon tue tues wed thu thur thurs fri sat sun jan feb mar apr jun jul aug sep sept oct nov dec "
+    "jh jhd okt dez г гг т д руб коп тыс млн др стр см напр т.д т.п ea p.o inc ltd co corp dept est u.n u.s u.k "
+)
 MONTHS = (
     "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Mär Apr Jun Jul Aug Sep Sept Okt Nov Dez "
     "Jh Jhd Jahrhundert Jahrhunderts Jahrhunderte"
@@ -129,11 +133,18 @@ def _quoted(b: Column) -> Column:
 
 
 def _block(b: Column) -> Column:
-    listed = b.rlike(rf"^[\s{HARD}{MARK}{BREAK}]*(?:[-*•‣·][ \t]+|\d{{1,3}}[.)][ \t]+)\S")
+    listed = b.rlike(rf"^[\s{HARD}{MARK}{BREAK}]*(?:[-*•‣·][ \t]+|\d{{1,3}}[.){POINT}][ \t]+)\S")
     named = b.rlike(r":\s*$") & ~b.rlike(rf"[{TERMINATORS}]")
-    whole = F.regexp_replace(F.regexp_replace(b, rf"[{TERMINATORS}]", POINT), r"[\s\u00a0]", GAP)
     quote = b.rlike("[„“”«»「」『』\"]")
-    return F.when(b.startswith(WHOLE) | listed | named, whole).when(quote, _quoted(b)).otherwise(b)
+    quoted = lambda t: F.when(quote, _quoted(t)).otherwise(t)
+    # An item goes on over wrapped lines, but ends with a line that ends a sentence.
+    item = F.length(F.regexp_extract(b, rf"(?s)^[\s{HARD}{MARK}{BREAK}]*\S+\s.*?(?:[{TERMINATORS}][{_QUOTES}'」』{_BRACKETS}]*|[\u0e00-\u0e7f])[ \t]*(?=\n(?![\s{MARK}]*(?:\p{{Ll}}|[\d๐-๙])))", 0))
+    first = F.when(item == 0, _whole(b)).otherwise(F.concat(_whole(F.substr(b, F.lit(1), item)), F.lit(HARD), quoted(F.substr(b, item + 2))))
+    return F.when(b.startswith(WHOLE) | named, _whole(b)).when(listed, first).otherwise(quoted(b))
+
+
+def _whole(b: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(b, rf"[{TERMINATORS}]", POINT), r"[\s\u00a0]", GAP)
 
 
 _LEFT = rf"(?<!{_WORDLIKE})"
@@ -146,6 +157,7 @@ _POINTS = [
 _ABBREVIATIONS = [
     rf"\.(?={_SPACE})(?<={_LEFT}(?iu:{_any(NEVER)})\.)",
     rf"\.(?={_SPACE}+\d)(?<={_LEFT}(?iu:{_any(BEFORE_FIGURE)})\.)",
+    rf"\.(?={_SPACE}+{_LOWER})(?<={_LEFT}(?iu:{_any(BEFORE_SMALL)}|\p{{L}}{{1,3}}|\d+)\.)",
     rf"\.(?={_SPACE}+(?:{_any(MONTHS)})(?!\p{{L}}))(?<={_LEFT}\d{{1,2}}\.)",
     rf"\.(?={_SPACE}+[\p{{Lu}}\d])(?<={_LEFT}\p{{Lu}}\.)",  # initials
 ]
@@ -154,11 +166,11 @@ _CLOSED = rf"(?<=[.!?؟][{_BRACKETS}']{{0,8}}[{_QUOTES}][{_QUOTES}{_BRACKETS}]{{
 _SPLIT = "|".join(
     [
         rf"(?<=[{HARD}{WHOLE}])|(?=[{HARD}{WHOLE}])",
-        # Spaced scripts: not before a small letter; after closing quotes only before a capital, figure or opening mark.
-        rf"(?={_SPACE}+{INLINE}*+(?!{_LOWER})[^\s{MARK}{BREAK}{HARD}{WHOLE}{INLINE}])(?<=[.!?؟{_BRACKETS}'])(?<=[.!?؟][{_BRACKETS}']{{0,24}})",
+        # Spaced scripts; what may go on before a small letter is masked. After closing quotes only before a capital or opening mark.
+        rf"(?={_SPACE}+{INLINE}*+[^\s{MARK}{BREAK}{HARD}{WHOLE}{INLINE}])(?<=[.!?؟{_BRACKETS}'])(?<=[.!?؟][{_BRACKETS}']{{0,24}})",
         rf"(?={_SPACE}+{INLINE}*+(?:[\p{{Lu}}\"“„«¿¡(]|\p{{Ll}}\p{{Lu}}))(?<=[{_QUOTES}{_BRACKETS}]){_CLOSED}",
         rf"(?={_SPACE})(?<=[।॥{_QUOTES}{_BRACKETS}])(?<=[।॥][{_QUOTES}{_BRACKETS}]{{0,16}})",
-        rf"(?<=[。！？｡{_BRACKETS}])(?![。！？｡!?…{_QUOTES}」』{_BRACKETS}{POINT}])(?<=[。！？｡][{_BRACKETS}]{{0,16}})",
+        rf"(?<=[。！？｡{_BRACKETS}])(?![。！？｡!?…\"”»’」』{_BRACKETS}{POINT}])(?<=[。！？｡][{_BRACKETS}]{{0,16}})",
         rf"(?={_SPACE}+[^\s\d๐-๙{MARK}{BREAK}{HARD}{WHOLE}])(?<=[฀-๏๚-๿][{_QUOTES}{_BRACKETS}]{{0,8}})",
     ]
 )
@@ -180,12 +192,12 @@ def masked(text: Column) -> dict[str, Column]:
         "_lines": _lines(c("_markup")),
         "_sig": signature,
         "_joined": _joined(c("_lines"), c("_sig")),
-        "_masked": F.array_join(F.transform(F.split(c("_joined"), rf"(?=[{HARD}{WHOLE}])", -1), _block), ""),
     }
-    points = c("_masked")
+    points = c("_joined")
     for p in [*_POINTS, *_ABBREVIATIONS]:
         points = F.regexp_replace(points, p, POINT)
-    return steps | {"_points": points}
+    blocks = F.split(c("_points"), rf"(?=[{HARD}{WHOLE}])", -1)
+    return steps | {"_points": points, "_masked": F.array_join(F.transform(blocks, _block), "")}
 
 
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -193,7 +205,7 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     d = df.select(F.col(key), F.col(text).alias("_text")).where(F.length("_text") > 0).withColumn("_row", F.monotonically_increasing_id())
     for name, step in masked(F.col("_text")).items():
         d = d.withColumn(name, step)
-    d = d.select(key, "_row", F.posexplode_outer(F.split("_points", _SPLIT, -1)).alias("_i", "_piece"))
+    d = d.select(key, "_row", F.posexplode_outer(F.split("_masked", _SPLIT, -1)).alias("_i", "_piece"))
     lead = F.length(F.regexp_extract("_piece", rf"^{_IGNORED}*", 0))
     kept = F.length(F.regexp_replace(F.regexp_replace("_piece", rf"^{_IGNORED}+", ""), rf"{_IGNORED}+$", ""))
     d = d.select(key, "_row", "_i", F.length("_piece").alias("_n"), lead.alias("_lead"), kept.alias("_kept"), F.col("_piece").rlike(r"[\p{L}\p{N}]").alias("_real"))
