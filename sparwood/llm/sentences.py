@@ -157,7 +157,7 @@ _POINTS = [
 _ABBREVIATIONS = [
     rf"\.(?={_SPACE})(?<={_LEFT}(?iu:{_any(NEVER)})\.)",
     rf"\.(?={_SPACE}+\d)(?<={_LEFT}(?iu:{_any(BEFORE_FIGURE)})\.)",
-    rf"\.(?={_SPACE}+{_LOWER})(?<={_LEFT}(?iu:{_any(BEFORE_SMALL)}|\p{{L}}{{1,3}}|\d+)\.)",
+    rf"\.(?={_SPACE}+{_LOWER})(?<={_LEFT}(?iu:{_any(BEFORE_SMALL)}|\p{{L}}{{1,2}}|\d+)\.)",
     rf"\.(?={_SPACE}+(?:{_any(MONTHS)})(?!\p{{L}}))(?<={_LEFT}\d{{1,2}}\.)",
     rf"\.(?={_SPACE}+[\p{{Lu}}\d])(?<={_LEFT}\p{{Lu}}\.)",  # initials
 ]
