@@ -58,12 +58,12 @@ def forward(lon: Column, lat: Column, c: Conic = ESTONIA) -> tuple[Column, Colum
 
 
 def inverse(x: Column, y: Column, c: Conic = ESTONIA) -> tuple[Column, Column]:
-    """Degrees of easting and northing; five rounds of the latitude's fixed point are exact to below a micrometre."""
+    """Degrees of easting and northing; eight rounds of the latitude's fixed point leave an error below 1e-15."""
     n, af, rho0 = c.constants()
     dx, dy = x - c.x0, rho0 - (y - c.y0)
     t = F.pow(F.sqrt(dx * dx + dy * dy) / af, F.lit(1 / n))
     phi = math.pi / 2 - 2 * F.atan(t)
-    for _ in range(5):
+    for _ in range(8):
         s = c.e * F.sin(phi)
         phi = math.pi / 2 - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(c.e / 2)))
     return F.degrees(F.atan2(dx, dy) / n) + c.lon0, F.degrees(phi)

@@ -174,16 +174,18 @@ _SEASON = ", ".join(f"('{s}', {int(k[:2])}, {int(k[3:])}, {v})" for s in P.SPECI
 
 
 def _projection() -> str:
-    """Degrees by the closed series in the conformal latitude, then metres by the forward formulas."""
+    """Degrees by the series in the conformal latitude and one step that sharpens it, then metres by the forward formulas."""
     n, af, rho0 = ESTONIA.constants()
     e2 = ESTONIA.e**2
     chi = f"(pi() / 2 - 2 * atan(pow(sqrt((x - 500000) ** 2 + ({rho0!r} - (y - 6375000)) ** 2) / {af!r}, 1 / {n!r})))"
     a, b, c = e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120
-    lat = f"(chi + {a!r} * sin(2 * chi) + {b!r} * sin(4 * chi) + {c!r} * sin(6 * chi))"
+    d = 4279 * e2**4 / 161280
+    lat = f"(chi + {a!r} * sin(2 * chi) + {b!r} * sin(4 * chi) + {c!r} * sin(6 * chi) + {d!r} * sin(8 * chi))"
     t = f"(tan(pi() / 4 - phi / 2) / pow((1 - {ESTONIA.e!r} * sin(phi)) / (1 + {ESTONIA.e!r} * sin(phi)), {ESTONIA.e / 2!r}))"
     return f"""SELECT id, round(degrees(lam) + 24 + 3e-11, 7) + 0.0 AS lon, round(degrees(phi) + 3e-11, 7) + 0.0 AS lat,
       round(500000 + {af!r} * pow({t}, {n!r}) * sin({n!r} * lam) + 3e-11, 3) + 0.0 AS x, round(6375000 + {rho0!r} - {af!r} * pow({t}, {n!r}) * cos({n!r} * lam) + 3e-11, 3) + 0.0 AS y
-      FROM (SELECT id, {lat} AS phi, atan2(x - 500000, {rho0!r} - (y - 6375000)) / {n!r} AS lam FROM (SELECT id, x, y, {chi} AS chi FROM stand))"""
+      FROM (SELECT id, lam, pi() / 2 - 2 * atan(tan(pi() / 4 - chi / 2) * pow((1 - {ESTONIA.e!r} * sin(phi0)) / (1 + {ESTONIA.e!r} * sin(phi0)), {ESTONIA.e / 2!r})) AS phi
+        FROM (SELECT id, chi, {lat} AS phi0, atan2(x - 500000, {rho0!r} - (y - 6375000)) / {n!r} AS lam FROM (SELECT id, x, y, {chi} AS chi FROM stand)))"""
 
 
 ORACLE = {
