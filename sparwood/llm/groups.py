@@ -1,9 +1,9 @@
 """One group identifier for all records that matches chain together (problem 4).
 
 Minimum labels are propagated across edges and the pointers shortened by jumping. A round lets every node of the (by now
-contracted) graph point at its smallest neighbour, jumps pointers until each points at a root, and replaces the edges'
-ends by their roots; edges inside a group vanish. Every step is written to the shared folder. Rounds end when no edge is
-left, that is when no label can change. The label of a record is then the composition of the rounds' pointers, from the
+contracted) graph point at its smallest neighbour, jumps the pointers twice, and replaces the edges' ends by what they
+point at; edges inside a group vanish. Every step is written to the shared folder. Rounds end when no edge is left, that
+is when no label can change; a chain shrinks to a quarter with every round. The label of a record is then the composition of the rounds' pointers, from the
 last round backwards, so that joins are on small tables first.
 
 The smallest neighbour is a hash aggregate with partial aggregation, so that a node with a third of all edges sends one
@@ -24,17 +24,14 @@ from ..session import drop_stored, stored
 
 
 def _jumped(pointers: DataFrame) -> DataFrame:
-    """Pointers (id, to) followed to their roots, doubling the distance with every written step."""
-    while True:
-        up = pointers.select(F.col("id").alias("to"), F.col("to").alias("up"))
-        ahead = F.coalesce("up", "to")
-        step = pointers.join(small_side(up, pointers), "to", "left").select("id", ahead.alias("new"), (ahead != F.col("to")).alias("moved"))
-        step = stored(step, "jump")
-        moved = not step.where("moved").isEmpty()
-        old, pointers = pointers, step.select("id", F.col("new").alias("to"))
-        drop_stored(old)
-        if not moved:
-            return pointers
+    """Pointers (id, to) jumped twice: every node points four steps on, or at its root."""
+
+    def jump(p: DataFrame, by: DataFrame) -> DataFrame:
+        up = by.select(F.col("id").alias("to"), F.col("to").alias("up"))
+        return p.join(small_side(up, pointers), "to", "left").select("id", F.coalesce("up", "to").alias("to"))
+
+    twice = jump(pointers, pointers)
+    return stored(jump(twice, twice), "jump")
 
 
 def small_side(side: DataFrame, source: DataFrame) -> DataFrame:
@@ -51,7 +48,9 @@ def groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("to"))
-        roots = _jumped(stored(lowest, "pointers"))
+        pointers = stored(lowest, "pointers")
+        roots = _jumped(pointers)
+        drop_stored(pointers)
         rounds.append(roots)
         side = small_side(roots, roots)
         one = edges.join(side.select(F.col("id").alias("a"), F.col("to").alias("ra")), "a").join(side.select(F.col("id").alias("b"), F.col("to").alias("rb")), "b")
@@ -61,11 +60,13 @@ def groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
             drop_stored(old)
     if not rounds:
         return nodes.select("id", F.col("id").alias("group_id"))
-    final = rounds.pop()
+    final = smaller = rounds.pop()
     while rounds:
         before = rounds.pop()
-        side = small_side(final.select(F.col("id").alias("to"), F.col("to").alias("up")), final)
-        final = stored(before.join(side, "to", "left").select("id", F.coalesce("up", "to").alias("to")), "labels")
+        up = final.select(F.col("id").alias("to"), F.col("to").alias("up"))
+        side = small_side(up, smaller)
+        final = before.join(side, "to", "left").select("id", F.coalesce("up", "to").alias("to"))
+        smaller = before
     # Nodes that only pair with themselves are in no round.
     return nodes.join(final, "id", "left").select("id", F.coalesce("to", "id").alias("group_id"))
 

@@ -76,7 +76,7 @@ def _number_mark(c: Column) -> Column:
 
 
 def _lines(t: Column) -> Column:
-    """array<struct<pre, depth, body, blank, mark, num, ended>> of the lines."""
+    """array<struct<pre, depth, body, blank, mark, num, sig>> of the lines."""
 
     def line(s: Column) -> Column:
         pre = F.regexp_extract(s, r"^[ \t]*(?:>[ \t]*)+", 0)
@@ -84,22 +84,24 @@ def _lines(t: Column) -> Column:
         return F.struct(
             F.length(pre).alias("pre"), (F.length(pre) - F.length(F.replace(pre, F.lit(">"), F.lit("")))).alias("depth"), body.alias("body"),
             (~body.rlike(r"[\p{L}\p{N}]")).alias("blank"), _list_mark(body).alias("mark"), _number_mark(body).alias("num"),
-            (
-                body.rlike(rf"[{TERMINATORS}{HARD}][{_QUOTES}'」』{_BRACKETS}{HARD}\s]*$")
-                & ~body.rlike(rf"(?<!{_WORDLIKE})(?i:{_any(BEFORE_FIGURE)})\.\s*$")
-            ).alias("ended"),
             F.trim(body).isin("--", "____", "~~").alias("sig"),
         )
 
     return F.transform(F.split(t, "\n", -1), line)
 
 
+def _ended(body: Column) -> Column:
+    """Whether a line ends a sentence, or a block."""
+    stop = body.rlike(rf"[{TERMINATORS}{HARD}][{_QUOTES}'」』{_BRACKETS}{HARD}\s]*$")
+    return stop & ~body.rlike(rf"(?<!{_WORDLIKE})(?i:{_any(BEFORE_FIGURE)})\.\s*$")
+
+
 def _joined(lines: Column, signature: Column) -> Column:
     """The lines as one text: quote marks masked, each line end soft (left as it is), hard, or hard before a whole line."""
 
     def one(l: Column, i: Column) -> Column:
         before = F.get(lines, i - 1)
-        number = l["num"] & (before["blank"] | before["ended"] | before["num"] | (before["depth"] != l["depth"]))
+        number = l["num"] & (before["blank"] | before["num"] | (before["depth"] != l["depth"]) | _ended(before["body"]))
         hard = l["blank"] | before["blank"] | (before["depth"] != l["depth"]) | l["mark"] | number
         sep = F.when(i == 0, "").when(i > signature, WHOLE).when(hard, HARD).otherwise("\n")
         return F.concat(sep, F.repeat(F.lit(MARK), l["pre"]), l["body"])
@@ -163,7 +165,7 @@ _ABBREVIATIONS = [
 ]
 
 _CLOSED = rf"(?<=[.!?؟][{_BRACKETS}']{{0,8}}[{_QUOTES}][{_QUOTES}{_BRACKETS}]{{0,16}})"
-_SPLIT = "|".join(
+_BRANCHES = "|".join(
     [
         rf"(?<=[{HARD}{WHOLE}])|(?=[{HARD}{WHOLE}])",
         # Spaced scripts; what may go on before a small letter is masked. After closing quotes only before a capital or opening mark.
@@ -174,6 +176,8 @@ _SPLIT = "|".join(
         rf"(?={_SPACE}+[^\s\d๐-๙{MARK}{BREAK}{HARD}{WHOLE}])(?<=[฀-๏๚-๿][{_QUOTES}{_BRACKETS}]{{0,8}})",
     ]
 )
+# Most places fail one look at either neighbour, before any branch is tried.
+_SPLIT = rf"(?:(?=[\s\u00a0{MARK}{BREAK}{HARD}{WHOLE}])|(?<=[{HARD}{WHOLE}。！？｡{_BRACKETS}]))(?:{_BRANCHES})"
 _IGNORED = rf"[\s\u00a0\u200b\ufeff{HARD}{MARK}{BREAK}{WHOLE}{GAP}]"
 
 
