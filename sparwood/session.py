@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -25,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the session was started: by path, on other machines as a zip."""
+    sc, home = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = sc.environment.get("PYTHONPATH", "")
+    if home in known.split(os.pathsep):
+        return
+    if home not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, known) if p)
+    if not sc.master.startswith("local") and (folder := shared_dir(spark).removeprefix("file://")).startswith("/"):
+        sc.addPyFile(shutil.make_archive(f"{folder}/sparwood-{uuid.uuid4().hex}", "zip", home, "sparwood"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a written table in the shared folder, so that lost executors cost no recomputation."""
     spark = df.sparkSession
