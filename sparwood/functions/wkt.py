@@ -105,8 +105,8 @@ def _centroid(text: str | None) -> tuple[float, float] | None:
 def place(texts: pd.Series) -> pd.DataFrame:
     """Centroid struct<x, y>: by area for areas, by length for lines, the mean for points and shapes without extent.
 
-    An Arrow function, since the folds over rings are higher-order functions in SQL, which Spark interprets: measured
-    here they took ten times as long. A position whose easting exceeds its northing was written northing first and is
+    An Arrow function, since the folds over rings are higher-order functions in SQL, which Spark interprets: with
+    them the step that stores the candidates' places took 4.9 s at sf0.1, with this 3.0 s. A position whose easting exceeds its northing was written northing first and is
     swapped back (true of EPSG:3301). Null, empty and unreadable texts give null members.
     """
     places = [_centroid(t) or (None, None) for t in texts]
