@@ -8,40 +8,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import priors as P
+from ..session import stored
 from .components import components
-from .shapes import extent
+from .shapes import extent, hull
+
+
+# Directions in which clusters' reaches are held: the farthest points of two clusters lie within 22.5 degrees of one of them.
+_ANGLES = np.arange(4) * np.pi / 4
+_AXES = np.stack([np.cos(_ANGLES), np.sin(_ANGLES)])
+_SURE = float(np.cos(np.pi / 8))
+
+
+def _farthest(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]).max())
 
 
 def complete_linkage(points: np.ndarray, threshold: float) -> np.ndarray:
-    """Label of each point: clusters whose largest inner distance is at most threshold, by nearest-neighbour chains."""
+    """Label of each point: clusters whose largest inner distance is at most threshold, by nearest-neighbour chains.
+
+    Clusters are held as hull corners and their reaches along fixed directions, never as a matrix: memory grows with the
+    points. A sum of reaches is at least _SURE of the distance between two clusters and at most all of it, so the hulls of
+    the few clusters that may be nearest are compared only.
+    """
     n = len(points)
-    d = np.hypot(*(points[:, None] - points[None]).transpose(2, 0, 1))
-    np.fill_diagonal(d, np.inf)
+    points = np.asarray(points, float)
     label = np.arange(n)
+    corners = [points[i : i + 1] for i in range(n)]
+    at = np.arange(n)  # clusters in the rows of high and low, in order; those gone are taken out now and then
+    high = points @ _AXES
+    low = high.copy()
     live = np.ones(n, bool)
+    left, first, gone_rows = n, 0, 0
+    row_of = np.arange(n)
     chain: list[int] = []
-    while live.sum() > 1:
+
+    def drop(k: int) -> None:
+        nonlocal left, gone_rows
+        live[k] = False
+        high[row_of[k]], low[row_of[k]] = np.inf, -np.inf
+        left, gone_rows = left - 1, gone_rows + 1
+
+    while left > 1:
+        if gone_rows > len(at) // 4:
+            kept = live[at]
+            at, high, low, gone_rows = at[kept], high[kept], low[kept], 0
+            row_of[at] = np.arange(len(at))
         if not chain:
-            chain = [int(np.flatnonzero(live)[0])]
+            while not live[first]:
+                first += 1
+            chain = [first]
         top = chain[-1]
-        row = np.where(live, d[top], np.inf)
-        near = int(row.argmin())
-        if len(chain) > 1 and row[chain[-2]] <= row[near]:
-            near = chain[-2]
+        h, w = high[row_of[top]], low[row_of[top]]
+        bound = np.maximum(high[:, 0] - w[0], h[0] - low[:, 0])
+        for k in range(1, _AXES.shape[1]):
+            np.maximum(bound, high[:, k] - w[k], out=bound)
+            np.maximum(bound, h[k] - low[:, k], out=bound)
+        bound[row_of[top]] = np.inf
+        least = min(float(bound.min()) / _SURE, threshold)
+        near, best = -1, np.inf
+        for k in at[np.flatnonzero(bound <= least * (1 + 1e-9) + 1e-6)].tolist():
+            d = _farthest(corners[top], corners[k])
+            if d < best or (d == best and len(chain) > 1 and k == chain[-2]):
+                near, best = k, d
+        if best > threshold:
+            # Nothing near enough: in complete linkage it comes closer to nothing later.
+            drop(top)
+            chain.pop()
+            continue
         if len(chain) < 2 or near != chain[-2]:
             chain.append(near)
             continue
         chain = chain[:-2]
-        if d[top, near] > threshold:
-            # Reciprocal neighbours too far apart: in complete linkage neither comes closer to anything later.
-            live[[top, near]] = False
-            continue
         keep, gone = min(top, near), max(top, near)
-        label[label == gone] = keep
-        merged = np.maximum(d[keep], d[gone])
-        d[keep], d[:, keep] = merged, merged
-        d[keep, keep] = np.inf
-        live[gone] = False
+        label[gone] = keep
+        corners[keep] = hull(np.vstack([corners[keep], corners[gone]]))
+        corners[gone] = points[:0]
+        high[row_of[keep]] = np.maximum(high[row_of[keep]], high[row_of[gone]])
+        low[row_of[keep]] = np.minimum(low[row_of[keep]], low[row_of[gone]])
+        drop(gone)
+    # A label is always that of a smaller point, so one look from below finds each cluster's smallest.
+    for i in range(n):
+        label[i] = label[label[i]]
     return label
 
 
@@ -59,15 +106,15 @@ def _reachable(members: list[int], links: dict[int, set[int]]) -> list[list[int]
     return parts
 
 
-def split(ids: list[int], centroid: dict[int, np.ndarray], corners: dict[int, np.ndarray], links: dict[int, set[int]], cap: float) -> list[list[int]]:
-    """Groups of one connected component: cut by linkage at a threshold that shrinks until the group's extent is within cap."""
+def parts(ids: list[int], centroid: dict[int, np.ndarray], corners: dict[int, np.ndarray], cap: float) -> list[list[int]]:
+    """Groups of one component: cut by linkage at a threshold that shrinks until the group's extent is within cap."""
     todo, done = [(sorted(ids), 0)], []
     while todo:
         group, depth = todo.pop()
         if len(group) == 1:
             done.append(group)
         elif depth >= P.MAX_DEPTH:
-            done += _reachable(group, links)
+            done.append(group)
         else:
             labels = complete_linkage(np.array([centroid[i] for i in group]), cap * P.SHRINK**depth)
             for one in np.unique(labels):
@@ -75,30 +122,36 @@ def split(ids: list[int], centroid: dict[int, np.ndarray], corners: dict[int, np
                 if len(part) > 1 and extent(np.vstack([corners[i] for i in part])) > cap:
                     todo.append((part, depth + 1))
                 else:
-                    done += _reachable(part, links)
+                    done.append(part)
     return done
 
 
+def split(ids: list[int], centroid: dict[int, np.ndarray], corners: dict[int, np.ndarray], links: dict[int, set[int]], cap: float) -> list[list[int]]:
+    """The parts of one component, each in the pieces that links connect inside it."""
+    return [piece for part in parts(ids, centroid, corners, cap) for piece in _reachable(part, links)]
+
+
 def clusters(blocks: DataFrame, edges: DataFrame, cap: float = P.CLUSTER_EXTENT_M) -> DataFrame:
     """block_id, root (smallest block of its cluster). blocks: block_id, x, y (centroid), corners (array of x, y structs).
 
-    Components of the proximity graph are clustered each in one Arrow group: linkage needs all of a component's blocks,
-    which are thousands of times fewer than the stands.
+    Components of the proximity graph are cut each in one Arrow group, of centroids and corners only: linkage needs all of a
+    component's blocks, in memory that grows with their number. Links stay outside: what they connect within each part is
+    found by the components of the edges inside it.
     """
     comp = components(blocks, edges, "block_id").withColumnRenamed("id", "block_id")
-    near = edges.select(F.col("id_a").alias("block_id"), F.col("id_b").alias("other")).union(edges.select("id_b", "id_a"))
-    linked = near.groupBy("block_id").agg(F.collect_set("other").alias("links"))
-    rows = blocks.join(comp, "block_id").join(linked, "block_id", "left").select("root", "block_id", "x", "y", "corners", "links")
+    rows = blocks.join(comp, "block_id").select("root", "block_id", "x", "y", "corners")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         ids = g["block_id"].astype(int).tolist()
         centroid = dict(zip(ids, g[["x", "y"]].to_numpy(float)))
         corners = {i: np.array([[p["x"], p["y"]] for p in c], float) for i, c in zip(ids, g["corners"])}
-        links = {i: set(map(int, k)) if k is not None else set() for i, k in zip(ids, g["links"])}
-        out = [(i, min(part)) for part in split(ids, centroid, corners, links, cap) for i in part]
-        return pd.DataFrame(out, columns=["block_id", "root"])
+        out = [(i, min(part)) for part in parts(ids, centroid, corners, cap) for i in part]
+        return pd.DataFrame(out, columns=["block_id", "part"])
 
-    return rows.groupBy("root").applyInPandas(run, "block_id bigint, root bigint")
+    part = stored(rows.groupBy("root").applyInPandas(run, "block_id bigint, part bigint"), "parts")
+    side = lambda k: part.select(F.col("block_id").alias(f"id_{k}"), F.col("part").alias(f"part_{k}"))
+    inner = edges.select("id_a", "id_b").join(side("a"), "id_a").join(side("b"), "id_b").where("part_a = part_b")
+    return components(part, inner, "block_id").withColumnRenamed("id", "block_id")
 
 
 def rollup(blocks: DataFrame, block_extent: str = "extent_m") -> DataFrame:

@@ -324,22 +324,27 @@ def block_extent(spark, d):
 
 
 def _centres(spark, d) -> DataFrame:
-    """Suppliers' places as compact blocks in a wider country."""
-    s = view(spark, d, "road").where("rid <= 400")
+    """Suppliers' places, all of them, as compact blocks in a wider country."""
+    s = view(spark, d, "road")
     return s.select(F.col("rid").alias("block_id"), ((F.col("x") - 500000) * 3 + 400000).alias("x"), ((F.col("y") - 6500000) * 3 + 6400000).alias("y"), F.col("rid").alias("stand_count"))
 
 
+def _proximity(blocks: DataFrame) -> DataFrame:
+    p = blocks.withColumnRenamed("block_id", "pid")
+    return spatial.near_pairs(p, P.BLOCK_PROXIMITY_M, [], inclusive=True).select(F.col("pid_a").alias("id_a"), F.col("pid_b").alias("id_b"), r("distance", 8).alias("distance_m"))
+
+
 @query
 def block_proximity(spark, d):
-    p = _centres(spark, d).withColumnRenamed("block_id", "pid")
-    return spatial.near_pairs(p, P.BLOCK_PROXIMITY_M, [], inclusive=True).select(F.col("pid_a").alias("id_a"), F.col("pid_b").alias("id_b"), r("distance", 8).alias("distance_m"))
+    """Centres of the blocks that its SQL takes (up to 400)."""
+    return _proximity(_centres(spark, d).where("block_id <= 400"))
 
 
 @query
 def macrocluster_partition(spark, d):
     b = _centres(spark, d)
     corners = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((-500, -500), (500, -500), (500, 500), (-500, 500))])
-    roots = partition.clusters(b.withColumn("corners", corners), block_proximity(spark, d))
+    roots = partition.clusters(b.withColumn("corners", corners), _proximity(b))
     joined = G.numbered(roots, name="cluster_id").join(b, "block_id")
     counts = partition.rollup(joined.withColumn("extent_m", F.lit(0.0))).drop("widest_block_m")
     ext = shapes.group_extent(joined.select("cluster_id", "x", "y"), "cluster_id").withColumnRenamed("extent_m", "centroid_extent_m")
