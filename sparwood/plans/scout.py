@@ -329,22 +329,30 @@ def _centres(spark, d) -> DataFrame:
     return s.select(F.col("rid").alias("block_id"), ((F.col("x") - 500000) * 3 + 400000).alias("x"), ((F.col("y") - 6500000) * 3 + 6400000).alias("y"), F.col("rid").alias("stand_count"))
 
 
-def _proximity(blocks: DataFrame) -> DataFrame:
-    p = blocks.withColumnRenamed("block_id", "pid")
-    return spatial.near_pairs(p, P.BLOCK_PROXIMITY_M, [], inclusive=True).select(F.col("pid_a").alias("id_a"), F.col("pid_b").alias("id_b"), r("distance", 8).alias("distance_m"))
+def _squares(blocks: DataFrame) -> DataFrame:
+    """The blocks with their corners, of a square kilometre each."""
+    corners = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((-500, -500), (500, -500), (500, 500), (-500, 500))])
+    return blocks.withColumn("corners", corners)
+
+
+@query
+def block_boundary_proximity(spark, d):
+    """Blocks whose boundaries are near, of all blocks (JN-4)."""
+    links = shapes.near_shapes(_squares(_centres(spark, d)).select(F.col("block_id").alias("id"), F.col("corners").alias("ring")), P.BLOCK_PROXIMITY_M)
+    return links.select("id_a", "id_b", r("distance_m", 8).alias("distance_m"))
 
 
 @query
 def block_proximity(spark, d):
-    """Centres of the blocks that its SQL takes (up to 400)."""
-    return _proximity(_centres(spark, d).where("block_id <= 400"))
+    """Centre points of the blocks that its SQL takes (up to 400); block_boundary_proximity is the whole join."""
+    p = _centres(spark, d).where("block_id <= 400").withColumnRenamed("block_id", "pid")
+    return spatial.near_pairs(p, P.BLOCK_PROXIMITY_M, [], inclusive=True).select(F.col("pid_a").alias("id_a"), F.col("pid_b").alias("id_b"), r("distance", 8).alias("distance_m"))
 
 
 @query
 def macrocluster_partition(spark, d):
     b = _centres(spark, d)
-    corners = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((-500, -500), (500, -500), (500, 500), (-500, 500))])
-    roots = partition.clusters(b.withColumn("corners", corners), _proximity(b))
+    roots = partition.clusters(_squares(b), block_boundary_proximity(spark, d))
     joined = G.numbered(roots, name="cluster_id").join(b, "block_id")
     counts = partition.rollup(joined.withColumn("extent_m", F.lit(0.0))).drop("widest_block_m")
     ext = shapes.group_extent(joined.select("cluster_id", "x", "y"), "cluster_id").withColumnRenamed("extent_m", "centroid_extent_m")
