@@ -34,8 +34,11 @@ WORDS, CHARACTERS = 20, 30
 PHRASE, SHARD, ITEM_BYTES = 4, 1 << 20, 32 << 20
 #: Words that must agree between two single-word differences.
 BETWEEN = 2
-#: Phrases of a passage that must be found, at least.
-FEW = 5
+#: Phrases of a passage that are found at least, whole or over a difference, and words from the start of one to the next at
+#: most. Both follow from what _aligned accepts: runs of BETWEEN words at least, but for the last one, parted by two words at
+#: most. A run leaves a phrase for each word beyond three, and one with the run after it. Runs of three leave fewest, four in
+#: 20 words; the start of a phrase over a difference is five words before the next at most (2 + 2 + 1).
+FEW, STEP = 4, 5
 
 _UNSPACED = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿຀-໿က-႟ក-៿"
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]*)+")
@@ -100,6 +103,52 @@ class Items:
         which = which.reshape(-1)
         self.order = np.argsort(which, kind="stable")
         self.starts = np.searchsorted(which[self.order], np.arange(len(self.phrases) + 1))
+        self._parted()
+
+    def _parted(self) -> None:
+        """Phrases with up to two words between their halves: pairs of words, and which pairs follow each other."""
+        self.base = len(self.symbol) + 3
+        pairs = [s[:-1] * self.base + s[1:] for s in self.seqs]
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        parts = [np.empty((0, 4), np.int64)]
+        for i, c in enumerate(pairs):
+            c = np.searchsorted(self.pairs, c)
+            for gap in range(3):
+                if (n := len(c) - 2 - gap) > 0:
+                    parts.append(np.stack([c[:n] * len(self.pairs) + c[2 + gap :], np.full(n, i), np.arange(n), np.full(n, gap)], 1))
+        rows = np.concatenate(parts)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        self.parted = rows[:, 1:]
+        self.keys, first = np.unique(rows[:, 0], return_index=True)
+        self.key_starts = np.r_[first, len(rows)]
+
+    def parted_in(self, text: np.ndarray) -> list[np.ndarray]:
+        """For 0, 1 and 2 words between the halves in the text: the number of the key at each position, -1 without one."""
+        none = np.full(len(text), -1, np.int64)
+        if len(text) < PHRASE or not len(self.keys):
+            return [none] * 3
+        code = text[:-1] * self.base + text[1:]
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        known = (self.pairs[at] == code) & (text[:-1] > 2) & (text[1:] > 2)
+        out = []
+        for gap in range(3):
+            key = none.copy()
+            both = np.flatnonzero(known[: len(code) - 2 - gap] & known[2 + gap :]) if len(code) > 2 + gap else np.empty(0, np.int64)
+            want = at[both] * len(self.pairs) + at[both + 2 + gap]
+            k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            key[both] = np.where(self.keys[k] == want, k, -1)
+            out.append(key)
+        return out
+
+    def parted_hits(self, key: np.ndarray, position: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in it and position of each key's phrases; those whole on both sides come from the index."""
+        count = self.key_starts[key + 1] - self.key_starts[key]
+        g = np.repeat(self.key_starts[key] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        position = np.repeat(position, count)
+        if not gap:
+            keep = self.parted[g, 2] > 0
+            g, position = g[keep], position[keep]
+        return self.parted[g, 0], self.parted[g, 1], position
 
     def occurrences(self, phrase: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hits of phrases spread over the items that have them: item, place in it, position."""
@@ -122,7 +171,7 @@ def _aligned(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, hits: np.nda
     BETWEEN words agreed since the last difference; of several, that of the longest passage. Two differences may fall
     together once in a passage: texts made from templates agree over long stretches but for whole phrases.
     """
-    lo, hi = max(0, int(hits[:, 0].min()) - 2 * PHRASE), min(len(doc), int(hits[:, 0].max()) + 3 * PHRASE)
+    lo, hi = max(0, int(hits[:, 0].min()) - 2 * CHARACTERS), min(len(doc), int(hits[:, 0].max()) + 2 * CHARACTERS)
     near = {int(d) + k for d in np.unique(hits[:, 0] - hits[:, 1]) for k in range(-4, 5)}
     of: dict[int, list[int]] = {}
     for i, w in enumerate(item.tolist()):
@@ -152,23 +201,31 @@ def _aligned(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, hits: np.nda
     return list(out.values())
 
 
+#: Words of a shard whose hits are spread over the items at once.
+_AT_ONCE = 1 << 17
+
+
+def _runs(group: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of sorted hits of one group whose positions are STEP apart at most."""
+    return np.cumsum(np.r_[0, (group[1:] != group[:-1]) | (position[1:] - position[:-1] > STEP)]) if len(group) else np.empty(0, np.int64)
+
+
 def _dense(hits: np.ndarray) -> np.ndarray:
-    """Which hits (document, item, position, place) lie in a band of diagonals where a passage can be.
+    """Hits (document, item, position, place) among which a passage can be, in order, each once, and their run in a last column.
 
-    Phrases overlap, so a passage of full length leaves FEW hits at least, over half its length, in a band of diagonals:
-    bands are 8 wide and overlap by half, so that a drift of 4 words stays in one of them.
+    A passage is a path on which positions and places rise: it leaves FEW hits of different position and place, none more
+    than STEP from the next.
     """
-    good = np.zeros(len(hits), bool)
-    for shift in (0, 4):
-        band = np.stack([hits[:, 0], hits[:, 1], (hits[:, 2] - hits[:, 3] + shift) // 8], 1)
-        order = np.lexsort((band[:, 2], band[:, 1], band[:, 0]))
-        b = band[order]
-        cuts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]).any(1)])
-        place = hits[order, 3]
-        wide = np.maximum.reduceat(place, cuts) - np.minimum.reduceat(place, cuts) >= WORDS // 2 - PHRASE
-        many = np.diff(np.r_[cuts, len(b)]) >= FEW
-        good[order] |= np.repeat(wide & many, np.diff(np.r_[cuts, len(b)]))
-    return good
+    hits = hits[np.lexsort((hits[:, 3], hits[:, 2], hits[:, 1], hits[:, 0]))]
+    hits = hits[np.r_[True, (hits[1:] != hits[:-1]).any(1)][: len(hits)]]
+    run = _runs(hits[:, 0] << 32 | hits[:, 1], hits[:, 2])
+    good = np.ones(len(hits), bool)
+    for c in (2, 3):
+        order = np.lexsort((hits[:, c], run))
+        r, v = run[order], hits[order, c]
+        new = np.r_[True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])][: len(r)]
+        good &= np.bincount(r, new, minlength=1)[run] >= FEW
+    return np.column_stack([hits, run])[good]
 
 
 def _search(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
@@ -182,24 +239,36 @@ def _search(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, li
     kept = (text > 2) & (np.bincount(run)[run] >= PHRASE)
     at = np.flatnonzero(kept | np.r_[True, kept[:-1]])
     index = FMIndex(np.where(kept, text, 1)[at])
-    parts = []
-    for phrase, position in index.find(items.phrases):
-        item, place, position = items.occurrences(phrase, at[position])
-        doc = np.searchsorted(starts, position, side="right") - 1
-        parts.append(np.stack([doc, item, position - starts[doc], place], 1))
-    if not parts:
-        return
-    hits = np.concatenate(parts)
-    hits = hits[_dense(hits)]
-    hits = hits[np.lexsort((hits[:, 3], hits[:, 2], hits[:, 1], hits[:, 0]))]
-    # Clusters of hits of one document and item, parted where no passage can go on.
-    apart = (hits[1:, :2] != hits[:-1, :2]).any(1) | (hits[1:, 2] - hits[:-1, 2] > 2 * CHARACTERS)
-    cuts = np.flatnonzero(np.r_[True, apart, True])[: len(hits) + 1]
+    whole = [(phrase, at[position]) for phrase, position in index.find(items.phrases)]
+    keys = items.parted_in(text)
+    # Positions of any phrase first: where too few are near each other, no item has a passage.
+    some = np.zeros(len(text), bool)
+    for _, position in whole:
+        some[position] = True
+    for key in keys:
+        some |= key >= 0
+    where = np.flatnonzero(some)
+    run = _runs(np.searchsorted(starts, where, side="right"), where)
+    some[where] = np.bincount(run, minlength=1)[run] >= FEW
+    cuts = sorted({0, *np.searchsorted(starts, np.arange(_AT_ONCE, len(text), _AT_ONCE)).tolist(), len(docs)})
     found: dict[tuple[int, int], list] = {}
     for a, b in zip(cuts[:-1], cuts[1:]):
-        doc, item = int(hits[a, 0]), int(hits[a, 1])
-        if passages := _aligned(docs[doc], items.seqs[item], items.weights[item], hits[a:b, 2:]):
-            found.setdefault((doc, item), []).extend(passages)
+        lo, hi = int(starts[a]), int(starts[b])
+        parts = []
+        for phrase, position in whole:
+            in_ = (position >= lo) & (position < hi) & some[position]
+            parts.append(items.occurrences(phrase[in_], position[in_]))
+        for gap, key in enumerate(keys):
+            position = lo + np.flatnonzero(some[lo:hi] & (key[lo:hi] >= 0))
+            parts.append(items.parted_hits(key[position], position, gap))
+        item, place, position = (np.concatenate(c) for c in zip(*parts))
+        doc = np.searchsorted(starts, position, side="right") - 1
+        hits = _dense(np.stack([doc, item, position - starts[doc], place], 1))
+        ends = np.flatnonzero(np.r_[True, hits[1:, 4] != hits[:-1, 4], True])[: len(hits) + 1]
+        for u, v in zip(ends[:-1], ends[1:]):
+            doc, item = int(hits[u, 0]), int(hits[u, 1])
+            if passages := _aligned(docs[doc], items.seqs[item], items.weights[item], hits[u:v, 2:4]):
+                found.setdefault((doc, item), []).extend(passages)
     for (doc, item), passages in found.items():
         yield doc, item, passages
 
