@@ -38,22 +38,43 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(f"{folder}/sparwood-{uuid.uuid4().hex}", "zip", home, "sparwood"))
 
 
+#: Folders written by this process that nothing has deleted yet, and the sessions that wrote them.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a written table in the shared folder, so that lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparwood/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table that :func:`stored` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote and that nothing reads any more."""
+    for df in tables:
+        files = [f.split(":", 1)[-1].lstrip("/") for f in df.inputFiles()]
+        for path in [p for p in _WRITTEN if any(f.startswith(p.split(":", 1)[-1].lstrip("/") + "/") for f in files)]:
+            _delete(_WRITTEN.pop(path), path)
+
+
+def clean_up() -> None:
+    """Delete all stored tables: to be called when no result of this package is read any more; done at exit at the latest."""
+    while _WRITTEN:
+        path, spark = _WRITTEN.popitem()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone: what is left on a mounted folder can still be deleted
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
+atexit.register(clean_up)
 
 
 def stored_bytes(df: DataFrame) -> int:
