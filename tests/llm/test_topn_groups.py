@@ -54,3 +54,17 @@ def test_groups_equal_union_find(spark, seed):
     got = groups.groups(df, "id_a", "id_b").collect()
     assert {r.id: r.group_id for r in got} == {x: find(x) for x in root} and len(got) == len(root)
     assert groups.groups(df.where("id_a < 0"), "id_a", "id_b").count() == 0
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
+    n = 4096
+    mixed = list(range(n))
+    random.Random(3).shuffle(mixed)
+    chains = {
+        "ascending": [(k, k + 1) for k in range(n - 1)], "descending": [(k + 1, k) for k in reversed(range(n - 1))],
+        "shuffled": list(zip(mixed, mixed[1:])), "hub": [(10**6, k) for k in range(n)],
+    }
+    for name, pairs in chains.items():
+        got = groups.groups(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b")
+        assert groups.LAST["rounds"] + groups.LAST["jumps"] <= 24, (name, groups.LAST)
+        assert got.select("group_id").distinct().collect() == [(0,)], name
