@@ -7,18 +7,16 @@ is known to be below ``BROADCAST_BYTES``.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from ..functions import wkt
-from ..session import BROADCAST_BYTES, stored, stored_bytes
-
-
-#: Segments that one cell may hold, at most.
-_PER_CELL = 1 << 26
+from ..session import BROADCAST_BYTES, drop_stored, stored, stored_bytes
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -67,61 +65,100 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
 
 
 def nearest(points: DataFrame, segments: DataFrame, key: str, cell_size: float | None = None) -> DataFrame:
-    """Nearest segment of every point, however far: pid, key, distance.
-
-    Ties to the millimetre go to the smaller key. Points (given as segments of length 0) work alike. A round searches
-    the 3 x 3 cells around a point and settles those whose distance is within a cell; the rest go on with cells four
-    times as large, up to one that covers everything. Points without position, and all points if there are no
-    segments, come out with null key and distance. Extra columns of either side are ignored.
+    """Nearest segment of every point, however far: pid, key, distance (the least of all).
+
+    Ties to the millimetre go to the smaller key. Points (given as segments of length 0) work alike. First the 3 x 3 cells
+    around a point are searched, which settles it if its distance is within a cell. The few others go down a pyramid of
+    occupied cells, each level four times as fine as the one above: a cell stays if what it holds can be as near as what some other
+    cell holds for sure, so that a far point meets only the segments of the few cells that can hold its nearest, never all.
+    Points without position, and all points if there are no segments, come out with null key and distance. Extra columns of
+    either side are ignored.
     """
+    kind = segments.schema[key].dataType
     s = segments.select(key, "x1", "y1", "x2", "y2").where(F.col(key).isNotNull())
-    s = stored(reduce(lambda d, c: d.where(F.col(c).isNotNull() & ~F.isnan(c)), ("x1", "y1", "x2", "y2"), s), "segments")
+    s = stored(reduce(lambda d, c: d.where(F.col(c).isNotNull() & ~F.isnan(c)), ("x1", "y1", "x2", "y2"), s).distinct(), "segments")
     box = s.agg(
         F.count("*").alias("n"), F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x1"),
         F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y1"),
     ).first()
-    rest = _clean(points).select("pid", "x", "y")
-    none = points.select("pid").join(rest.select("pid"), "pid", "left_anti").select("pid", F.lit(None).cast(s.schema[key].dataType).alias(key), F.lit(None).cast("double").alias("distance"))
+    unknown = [F.lit(None).cast(kind).alias(key), F.lit(None).cast("double").alias("distance")]
     if not box["n"]:
-        return points.select("pid", F.lit(None).cast(s.schema[key].dataType).alias(key), F.lit(None).cast("double").alias("distance"))
-    reach = rest.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if reach["x0"] is None:
-        return none
-    width = max(box["x1"], reach["x1"]) - min(box["x0"], reach["x0"])
-    height = max(box["y1"], reach["y1"]) - min(box["y0"], reach["y0"])
-    extent = max(width, height, 1.0)
-    size = min(cell_size or 2.0 * max((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"], 1.0) ** 0.5, extent)
-    done: list[DataFrame] = []
-    while True:
-        last = size >= extent
-        found = stored(_one_round(rest, s, key, size), "nearest")
-        settled = F.lit(True) if last else F.coalesce(F.col("distance") + 0.001 <= size, F.lit(False))
-        done.append(found.where(settled).select("pid", key, "distance"))
-        if last or (rest := found.where(~settled).select("pid", "x", "y")).isEmpty():
-            return reduce(DataFrame.unionByName, done, none)
-        size = min(size * 4, extent)
-
-
-def _one_round(points: DataFrame, s: DataFrame, key: str, size: float) -> DataFrame:
-    pieces = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / size)).cast("int")
-    cut = s.withColumn("n", pieces).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("n")
-    cut = cut.select(key, *[at(f"{v}1", f"{v}2", F.col("i")).alias(f"{v}a") for v in "xy"], *[at(f"{v}1", f"{v}2", F.col("i") + 1).alias(f"{v}b") for v in "xy"], "x1", "y1", "x2", "y2")
-    cells = cut
+        drop_stored(s)
+        return points.select("pid", *unknown)
+    width, height = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    size = cell_size or max((max(width, 1.0) * max(height, 1.0) / box["n"]) ** 0.5, max(width, height) / (1 << 24), 1.0)
+    pieces = stored(_pieces(s, key, size), "pieces")
+    near = [F.explode(F.sequence(F.col(f"c{v}") - 1, F.col(f"c{v}") + 1)).alias(f"c{v}") for v in "xy"]
+    cells = pieces.select(key, "x1", "y1", "x2", "y2", near[0], "cy").select(key, "x1", "y1", "x2", "y2", "cx", near[1]).distinct()
+    cells = stored(cells, "segment_cells")
+    p = _clean(points).select("pid", "x", "y").withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
+    first = stored(_least(p.join(small(cells), ["cx", "cy"], "left"), key, kind), "nearest")
+    drop_stored(cells, s)
+    settled = F.coalesce(F.col("distance") + 0.001 <= size, F.lit(False))
+    found = first.where(settled).select("pid", key, "distance")
+    rest = first.where(~settled).select("pid", "x", "y", F.coalesce("distance", F.lit(float("inf"))).alias("bound"))
+    if not rest.isEmpty():
+        found = found.unionByName(_descent(rest, pieces, key, kind).select("pid", key, "distance"))
+    none = points.select("pid", "x", "y").where(F.col("x").isNull() | F.isnan("x") | F.col("y").isNull() | F.isnan("y"))
+    return found.unionByName(none.select("pid", *unknown))
+
+
+def _pieces(s: DataFrame, key: str, size: float) -> DataFrame:
+    """Segments with the cells that they, cut into pieces no longer than a cell, touch, and the box of what is there: key, x1 to y2, cx, cy, xa to yb."""
+    count = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / size)).cast("int")
+    cut = s.withColumn("n", count).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda v, i: F.col(f"{v}1") + (F.col(f"{v}2") - F.col(f"{v}1")) * i / F.col("n")
+    for v in "xy":
+        lo, hi = at(v, F.col("i")), at(v, F.col("i") + 1)
+        cut = cut.withColumns({f"{v}a": F.least(lo, hi), f"{v}b": F.greatest(lo, hi)})
     for v in "xy":
-        lo, hi = cell(F.least(f"{v}a", f"{v}b"), size) - 1, cell(F.greatest(f"{v}a", f"{v}b"), size) + 1
-        cells = cells.withColumn(f"c{v}", F.explode(F.sequence(lo, hi)))
-    cells = cells.select(key, "x1", "y1", "x2", "y2", "cx", "cy").distinct()
-    order = Window.partitionBy("cx", "cy").orderBy(key, "x1", "y1", "x2", "y2")
-    cells = stored(cells.withColumn("nth", F.row_number().over(order).cast("long")), "segment_cells")
-    p = points.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
+        cut = cut.withColumn(f"c{v}", F.explode(F.sequence(cell(F.col(f"{v}a"), size), cell(F.col(f"{v}b"), size))))
+    return cut.select(key, "x1", "y1", "x2", "y2", "cx", "cy", "xa", "ya", "xb", "yb")
+
+
+def _least(tried: DataFrame, key: str, kind: DataType) -> DataFrame:
+    """pid, x, y, key, distance: of each point the segment of least millimetres, then of least key."""
     d = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-    # A point has one cell, within which segments are numbered in the order of their keys: one long holds millimetres
-    # and number, so that the minimum is a hash aggregate on plain values instead of a sort of structs.
-    packed = F.round(d * 1000).cast("long") * _PER_CELL + F.col("nth")
-    tried = p.join(small(cells), ["cx", "cy"], "left")
-    best = tried.groupBy("pid", "x", "y", "cx", "cy").agg(F.min(packed).alias("best")).withColumn("nth", F.col("best") % _PER_CELL)
-    return best.join(small(cells), ["cx", "cy", "nth"], "left").select("pid", "x", "y", key, d.alias("distance"))
+    mm = F.round(d * 1000)
+    by = tried.groupBy("pid", "x", "y")
+    if not isinstance(kind, IntegralType):
+        return by.agg(F.min(F.struct(mm.alias("mm"), F.col(key))).alias("b"), F.min(d).alias("distance")).select("pid", "x", "y", F.col(f"b.{key}").alias(key), "distance")
+    # Millimetres and key in one number, so that the minimum is a hash aggregate on plain values instead of a sort of structs.
+    base, shift = F.lit(Decimal(1 << 64)).cast("decimal(20,0)"), F.lit(Decimal(1 << 63)).cast("decimal(20,0)")
+    packed = mm.cast("decimal(17,0)") * base + (F.col(key).cast("decimal(20,0)") + shift)
+    best = by.agg(F.min(packed.cast("decimal(38,0)")).alias("best"), F.min(d).alias("distance"))
+    return best.select("pid", "x", "y", (F.col("best") % base - shift).cast(kind).alias(key), "distance")
+
+
+def _descent(points: DataFrame, pieces: DataFrame, key: str, kind: DataType) -> DataFrame:
+    """:func:`_least` of far points (pid, x, y, bound: a distance within which there is a segment), by a pyramid of cells."""
+    reach = pieces.agg(*[f(f"c{v}").alias(f"{n}{v}") for v in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    top = 0
+    while any((reach[f"hi{v}"] >> 2 * top) - (reach[f"lo{v}"] >> 2 * top) > 1 for v in "xy"):
+        top += 1
+    up = F.col("level") * 2
+    levels = pieces.select("cx", "cy", "xa", "ya", "xb", "yb").groupBy("cx", "cy").agg(*[F.min(f"{v}a").alias(f"{v}a") for v in "xy"], *[F.max(f"{v}b").alias(f"{v}b") for v in "xy"])
+    levels = levels.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    levels = levels.groupBy("level", *[F.call_function("shiftright", f"c{v}", up).alias(f"c{v}") for v in "xy"]).agg(
+        *[F.min(f"{v}a").alias(f"{v}a") for v in "xy"], *[F.max(f"{v}b").alias(f"{v}b") for v in "xy"]
+    )
+    levels = stored(levels, "pyramid")
+    # Four cells of the uppermost level, at most, hold everything.
+    first = F.array(*[F.struct(F.lit(r["cx"]).alias("px"), F.lit(r["cy"]).alias("py")) for r in levels.where(F.col("level") == top).select("cx", "cy").collect()])
+    open_ = points.withColumn("c", F.explode(first)).select("pid", "x", "y", "bound", "c.px", "c.py")
+    every = Window.partitionBy("pid")
+    for level in range(top, -1, -1):
+        to = 0 if level == top else 2
+        fine = levels.where(F.col("level") == level).select(*[F.shiftright(f"c{v}", to).alias(f"p{v}") for v in "xy"], "cx", "cy", "xa", "ya", "xb", "yb")
+        met = open_.join(F.broadcast(fine) if small(levels) is not levels else fine, ["px", "py"])
+        gap = {v: F.greatest(F.lit(0.0), F.col(f"{v}a") - F.col(v), F.col(v) - F.col(f"{v}b")) for v in "xy"}
+        side = {v: (F.abs(F.col(v) - F.col(f"{v}a")), F.abs(F.col(v) - F.col(f"{v}b"))) for v in "xy"}
+        # Every side of a box is touched by something: there is a segment no farther than the far end of the nearer side.
+        sure = F.least(F.hypot(F.least(*side["x"]), F.greatest(*side["y"])), F.hypot(F.greatest(*side["x"]), F.least(*side["y"])))
+        met = met.withColumns({"least": F.hypot(gap["x"], gap["y"]), "bound": F.least(F.col("bound"), F.min(sure).over(every))})
+        open_ = met.where(F.col("least") <= F.col("bound") * (1 + 1e-9) + 0.002).select("pid", "x", "y", "bound", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    at = pieces.select(key, "x1", "y1", "x2", "y2", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    return _least(open_.join(F.broadcast(at) if small(pieces) is not pieces else at, ["px", "py"]), key, kind)
 
 
 def edges_of(regions: DataFrame, key: str, geometry: str) -> DataFrame:
@@ -171,23 +208,49 @@ def anti_within(points: DataFrame, others: DataFrame, radius: float) -> DataFram
     return points.join(within(points, others, radius).select("pid").distinct(), "pid", "left_anti")
 
 
-def zonal_mean(zones: DataFrame, pixels: DataFrame, value: str, fallback: float = 1500.0) -> DataFrame:
-    """Mean of the pixels inside each zone's box (bounds included), else the nearest pixel's value within ``fallback`` of its centre.
+def lines_apart(segments: DataFrame, key: str, others: DataFrame, radius: float) -> DataFrame:
+    """Keys of lines none of whose segments (key, x1 to y2) comes within ``radius`` (inclusive) of a point (oid, x, y).
+
+    Segments are cut into pieces no longer than a cell, grown by the radius and met with the points of the cells they touch.
+    Without points no line is dropped; lines without segments aren't in the table to begin with.
+    """
+    size = max(4.0 * radius, 1.0)
+    o = _clean(others).select(F.col("x").alias("xo"), F.col("y").alias("yo"))
+    o = o.withColumns({"cx": cell(F.col("xo"), size), "cy": cell(F.col("yo"), size)}).distinct()
+    p = _pieces(segments.select(key, "x1", "y1", "x2", "y2"), key, size).drop("cx", "cy").distinct()
+    for v in "xy":
+        p = p.withColumn(f"c{v}", F.explode(F.sequence(cell(F.col(f"{v}a") - radius, size), cell(F.col(f"{v}b") + radius, size))))
+    d = segment_distance(*[F.col(c) for c in ("xo", "yo", "x1", "y1", "x2", "y2")])
+    hit = p.join(o, ["cx", "cy"]).where(d <= radius).select(key).distinct()
+    return segments.select(key).distinct().join(hit, key, "left_anti")
+
+
+def zonal_means(zones: DataFrame, pixels: DataFrame, values: list[str], fallback: float = 1500.0) -> DataFrame:
+    """Means of the pixels inside each zone's box (bounds included), else the nearest pixel's values within ``fallback`` of its centre.
 
     zones: zid, xmin, ymin, xmax, ymax, x, y (centre). The fallback is taken only if the box holds no pixel; null values
-    are skipped by the mean but count as pixels. Of equally near pixels the smaller px counts. pixels: px, x, y, value.
+    are skipped by the means but count as pixels. Of equally near pixels the smaller px counts. pixels: px, x, y, values.
+    Zones that meet nothing come out with nulls.
     """
     size = fallback
-    q = _clean(pixels).select("px", F.col("x").alias("xp"), F.col("y").alias("yp"), F.col(value).alias("v"))
+    q = _clean(pixels).select("px", F.col("x").alias("xp"), F.col("y").alias("yp"), F.struct(*values).alias("v"))
     q = q.withColumns({"cx": cell(F.col("xp"), size), "cy": cell(F.col("yp"), size)})
-    z = zones.withColumn("cx", F.explode(F.sequence(cell(F.col("xmin"), size), cell(F.col("xmax"), size))))
-    z = z.withColumn("cy", F.explode(F.sequence(cell(F.col("ymin"), size), cell(F.col("ymax"), size))))
-    held = z.join(q, ["cx", "cy"]).where(F.col("xp").between(F.col("xmin"), F.col("xmax")) & F.col("yp").between(F.col("ymin"), F.col("ymax")))
-    means = held.groupBy("zid").agg(F.avg("v").alias(value))
-    left = zones.select("zid", "x", "y").join(means.select("zid"), "zid", "left_anti")
-    probe = left.withColumn("cx", F.explode(F.sequence(cell(F.col("x") - size, size), cell(F.col("x") + size, size))))
-    probe = probe.withColumn("cy", F.explode(F.sequence(cell(F.col("y") - size, size), cell(F.col("y") + size, size))))
+    # The cells that either the box or the fallback's disc touches: one join serves both.
+    lo = lambda v: F.least(F.col(f"{v}min"), F.col(v) - size)
+    hi = lambda v: F.greatest(F.col(f"{v}max"), F.col(v) + size)
+    z = zones.select("zid", "x", "y", "xmin", "xmax", "ymin", "ymax")
+    for v in "xy":
+        z = z.withColumn(f"c{v}", F.explode(F.sequence(cell(lo(v), size), cell(hi(v), size))))
     d = F.hypot(F.col("x") - F.col("xp"), F.col("y") - F.col("yp"))
-    near = probe.join(q, ["cx", "cy"]).where(d <= fallback).groupBy("zid").agg(F.min(F.struct(d.alias("d"), F.col("px"), F.col("v"))).alias("b"))
-    found = means.unionByName(near.select("zid", F.col("b.v").alias(value)))
+    met = z.join(q, ["cx", "cy"]).withColumns({"in": F.col("xp").between(F.col("xmin"), F.col("xmax")) & F.col("yp").between(F.col("ymin"), F.col("ymax")), "d": d})
+    met = met.where(F.col("in") | (F.col("d") <= fallback))
+    means = [F.avg(F.when(F.col("in"), F.col("v")[c])).alias(c) for c in values]
+    near = F.min(F.when(~F.col("in"), F.struct("d", "px", "v"))).alias("near")
+    by = met.groupBy("zid").agg(F.count_if("in").alias("n"), *means, near)
+    found = by.select("zid", *[F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("near.v")[c]).alias(c) for c in values])
     return zones.select("zid").join(found, "zid", "left")
+
+
+def zonal_mean(zones: DataFrame, pixels: DataFrame, value: str, fallback: float = 1500.0) -> DataFrame:
+    """:func:`zonal_means` of one value."""
+    return zonal_means(zones, pixels, [value], fallback)

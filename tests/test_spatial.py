@@ -99,3 +99,38 @@ def test_extent_is_the_largest_distance(spark):
         g = [p[1:] for p in pts if p[0] == k]
         assert got[k] == pytest.approx(max(math.dist(a, b) for a in g for b in g))
     assert got[9] == 0.0 and 10 not in got
+
+
+def test_far_points_meet_few_segments_and_hot_cells_are_whole(spark):
+    rng = random.Random(5)
+    seg = [(k, x := rng.uniform(0, 500), y := rng.uniform(0, 500), x + rng.uniform(-9, 9), y + rng.uniform(-9, 9)) for k in range(300)]
+    seg += [(-5, 7e5, 0.0, 8e5, 0.0), (301, 250.0, 250.0, 250.0, 250.0), (300, 250.0, 250.0, 250.0, 250.0)]
+    pts = [(i, 1e6 + rng.uniform(0, 500), 1e6 + rng.uniform(0, 500)) for i in range(300)] + [(500 + i, rng.uniform(-4e5, 9e5), rng.uniform(-4e5, 9e5)) for i in range(100)]
+    pts += [(900, 250.0, 250.0), (901, 250.0, 250.0)]
+    segments = spark.createDataFrame(seg, "k bigint, x1 double, y1 double, x2 double, y2 double")
+    for size in (None, 20.0):
+        got = {r.pid: (r.k, r.distance) for r in spatial.nearest(_points(spark, pts), segments, "k", size).collect()}
+        for i, x, y in pts:
+            best = min(_distance(x, y, *s) for _, *s in seg)
+            assert got[i][1] == pytest.approx(best, abs=1e-6)
+            assert round(_distance(x, y, *next(s for k, *s in seg if k == got[i][0])), 3) == round(best, 3)
+        assert got[900][0] == got[901][0] == 300 and len(got) == len(pts)
+    named = segments.selectExpr("concat('r', k) AS k", "x1", "y1", "x2", "y2")
+    assert {r.pid: r.distance for r in spatial.nearest(_points(spark, pts), named, "k").collect()} == {k: v[1] for k, v in got.items()}
+
+
+def _distance(px, py, x1, y1, x2, y2):
+    dx, dy = x2 - x1, y2 - y1
+    t = max(0, min(1, ((px - x1) * dx + (py - y1) * dy) / ((dx * dx + dy * dy) or 1)))
+    return math.hypot(px - x1 - t * dx, py - y1 - t * dy)
+
+
+def test_lines_apart_from_points(spark):
+    rng = random.Random(6)
+    seg = [(k % 40, *(rng.uniform(0, 3000) for _ in range(4))) for k in range(60)]
+    pts = [(i, rng.uniform(0, 3000), rng.uniform(0, 3000)) for i in range(10)] + [(99, None, 1.0)]
+    segments = spark.createDataFrame(seg, "k bigint, x1 double, y1 double, x2 double, y2 double")
+    points = _points(spark, pts).withColumnRenamed("pid", "oid")
+    got = {r.k for r in spatial.lines_apart(segments, "k", points, 60.0).collect()}
+    assert got == {k for k, *_ in seg} - {k for k, *s in seg for _, x, y in pts[:-1] if _distance(x, y, *s) <= 60}
+    assert 0 < len(got) < 40 and spatial.lines_apart(segments, "k", points.where("oid < 0"), 60.0).count() == 40
