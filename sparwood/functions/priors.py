@@ -66,6 +66,6 @@ MIN_COVERAGE, STALE_HOURS, GATE = 0.7, 6.0, 0.9
 SLOTS = {3: 288, 7: 672, 14: 1344}
 SLOT_HOURS, DRY_GAP_HOURS, SIGNIFICANT_MM, STRONG_MM, MET_HOURS = 0.25, 6, 5.0, 10.0, 72
 SEPARATION_M, TOP, REMOTE_TOP, EXAMPLES = 400.0, 10, 10, 3
-GAP_M, CONTACT_M = 10.0, 20.0
-BLOCK_PROXIMITY_M, BLOCK_EXTENT_M, CLUSTER_EXTENT_M, TARGET_BLOCKS = 8000.0, 25000.0, 35000.0, (5, 15)
+GAP_M, CONTACT_M, ECOTONE_BUFFER_M = 10.0, 20.0, 40.0
+BLOCK_PROXIMITY_M, BLOCK_EXTENT_M, CLUSTER_EXTENT_M, TARGET_EXTENT_M, TARGET_BLOCKS = 8000.0, 25000.0, 35000.0, 25000.0, (5, 15)
 MAX_DEPTH, SHRINK = 5, 0.8

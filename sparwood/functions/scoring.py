@@ -134,10 +134,16 @@ def access_reason(distance: Column, kind: Column) -> Column:
 
 def car_class(kind: Column, surface: Column) -> Column:
     """Class of a road; unknown types and surfaces are an error, as a silent null would hide roads."""
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("road of unknown type or surface:"), kind, surface)).cast("string")
+    return F.coalesce(known_car_class(kind, surface), unknown)
+
+
+def known_car_class(kind: Column, surface: Column) -> Column:
+    """Class of a road, null for unknown types and surfaces."""
     c = reduce(lambda c, kv: c.when(kind.isin(*kv[1]), kv[0]), list(P.ROAD_CLASSES.items())[1:], F.when(kind.isin(*P.ROAD_CLASSES["HIGH_CONFIDENCE"]), "HIGH_CONFIDENCE"))
     for name, surfaces in P.OTHER_ROAD_SURFACES.items():
         c = c.when((kind == P.OTHER_ROAD) & surface.isin(*surfaces), name)
-    return c.otherwise(F.raise_error(F.concat_ws(" ", F.lit("road of unknown type or surface:"), kind, surface)).cast("string"))
+    return c
 
 
 # Fruiting
@@ -202,6 +208,12 @@ def data_quality(coverage: dict[int, Column], met_age_hours: Column, met_coverag
     return F.when(text == "", "complete").otherwise(text)
 
 
+def coverage(value: Column) -> Column:
+    """Part of what was expected: null is 0; outside 0 to 1 is an error, as it would be one of counting."""
+    c = F.coalesce(value, F.lit(0.0))
+    return F.when((c >= 0) & (c <= 1), c).otherwise(F.raise_error(F.concat(F.lit("coverage outside 0 to 1: "), c.cast("string"))).cast("double"))
+
+
 def if_covered(value: Column, coverage: Column) -> Column:
     return F.when(coverage >= P.MIN_COVERAGE, value)
 

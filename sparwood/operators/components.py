@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_stored, stored
+from .ordering import numbered_rows
 
 
 def components(vertices: DataFrame, edges: DataFrame, id_: str = "id", a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -41,12 +42,11 @@ def components(vertices: DataFrame, edges: DataFrame, id_: str = "id", a: str =
 
 
 def numbered(groups: DataFrame, root: str = "root", name: str = "block_id") -> DataFrame:
-    """Groups numbered from 0 in the order of their roots: counts per range of roots first, so no task sees all of them."""
-    r = groups.select(root).distinct()
-    width = 1 << 20
-    part = F.floor(F.col(root) / width)
-    sizes = r.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = r.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(root)) - 1)
-    ids = within.join(before, "part").select(root, (F.col("before") + F.col("nth")).cast("int").alias(name))
-    return groups.join(ids, root)
+    """Groups numbered from 0 (bigint) in the order of their roots."""
+    ids = numbered_rows(groups.select(root).distinct(), [F.col(root)], name)
+    return groups.join(ids.withColumn(name, F.col(name) - 1), root)
+
+
+def with_key(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """df with the other columns of values, which has one row per key: columns of these names that df has are replaced, so it can be run again."""
+    return df.drop(*[c for c in values.columns if c != key]).join(values, key, "left")

@@ -11,6 +11,13 @@ from ..functions import priors as P
 from ..functions import scoring as S
 
 
+def attached(stands: DataFrame, elements: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """stands with the composition of each; one without elements has an empty list, not null."""
+    n = nested(elements, key, columns)
+    empty = F.array().cast(n.schema["composition"].dataType)
+    return stands.drop("composition").join(n, key, "left").withColumn("composition", F.coalesce("composition", empty))
+
+
 def nested(elements: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row per key with its elements as a sorted array of structs."""
     return elements.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("composition"))
@@ -44,23 +51,34 @@ def stand_scores(stands: DataFrame) -> DataFrame:
     return stands.withColumns({f"habitat_{s}": S.host_score(s, by) * S.site_modifier(S.site_score(s, F.col("site"))) for s in P.SPECIES})
 
 
+def sides(edges: DataFrame, stands: DataFrame) -> DataFrame:
+    """edges with the columns of either stand as the structs _a and _b, null for a stand that is missing: one join per side serves all that follows."""
+    of = F.struct(*[c for c in stands.columns if c != "id"])
+    side = lambda k: stands.select(F.col("id").alias(f"id_{k}"), of.alias(f"_{k}"))
+    return edges.join(side("a"), "id_a", "left").join(side("b"), "id_b", "left")
+
+
 def ecotones(edges: DataFrame, stands: DataFrame) -> DataFrame:
     """Contrasts, exploration bonus and scores of stand pairs; a stand that is missing leaves what needs it null.
 
     stands: id, site, age, drained, the categories' fractions, habitat_*. Both lookups are equi-joins on the stand id.
     """
     cols = ["id", "site", "age", "drained", *P.CATEGORIES, *(f"habitat_{s}" for s in P.SPECIES)]
-    side = lambda k: stands.select(*[F.col(c).alias(f"{k}_{c}") for c in cols])
-    e = edges.join(side("a"), F.col("id_a") == F.col("a_id"), "left").join(side("b"), F.col("id_b") == F.col("b_id"), "left")
-    fa, fb = ([F.col(f"{k}_{c}") for c in P.CATEGORIES] for k in "ab")
+    return contrasted(sides(edges, stands.select(*cols))).drop("_a", "_b")
+
+
+def contrasted(e: DataFrame) -> DataFrame:
+    """:func:`ecotones` of edges that have their sides."""
+    of = lambda k, c: F.col(f"_{k}.{c}")
+    fa, fb = ([of(k, c) for c in P.CATEGORIES] for k in "ab")
     e = e.withColumns(
         {
             "composition_contrast": S.composition_contrast(fa, fb),
-            "site_type_changed": S.site_changed(F.col("a_site"), F.col("b_site")),
-            "group_changed": S.group_changed(F.col("a_site"), F.col("b_site")),
-            "moisture_contrast": S.moisture_contrast(F.col("a_site"), F.col("b_site")),
-            "age_contrast": S.age_contrast(F.col("a_age"), F.col("b_age")),
-            "drainage_changed": F.col("a_drained") != F.col("b_drained"),
+            "site_type_changed": S.site_changed(of("a", "site"), of("b", "site")),
+            "group_changed": S.group_changed(of("a", "site"), of("b", "site")),
+            "moisture_contrast": S.moisture_contrast(of("a", "site"), of("b", "site")),
+            "age_contrast": S.age_contrast(of("a", "age"), of("b", "age")),
+            "drainage_changed": of("a", "drained") != of("b", "drained"),
         }
     )
     bonus, signal, coverage = S.exploration(
@@ -73,5 +91,4 @@ def ecotones(edges: DataFrame, stands: DataFrame) -> DataFrame:
         }
     )
     e = e.withColumns({"bonus": bonus, "signal": signal, "coverage": coverage})
-    e = e.withColumns({f"ecotone_{s}": S.ecotone_score(F.col(f"a_habitat_{s}"), F.col(f"b_habitat_{s}"), F.col("bonus")) for s in P.SPECIES})
-    return e.drop(*(f"{k}_{c}" for k in "ab" for c in cols))
+    return e.withColumns({f"ecotone_{s}": S.ecotone_score(of("a", f"habitat_{s}"), of("b", f"habitat_{s}"), F.col("bonus")) for s in P.SPECIES})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import priors as P
 from ..session import stored
 from .components import components
-from .shapes import extent, hull
+from .shapes import extent, group_extent, hull
 
 
 # Directions in which clusters' reaches are held: the farthest points of two clusters lie within 22.5 degrees of one of them.
@@ -154,8 +154,16 @@ def clusters(blocks: DataFrame, edges: DataFrame, cap: float = P.CLUSTER_EXTENT_
     return components(part, inner, "block_id").withColumnRenamed("id", "block_id")
 
 
-def rollup(blocks: DataFrame, block_extent: str = "extent_m") -> DataFrame:
-    """Counts and flags per cluster of blocks with cluster_id, stands and the cluster's extents joined on."""
-    return blocks.groupBy("cluster_id").agg(
-        F.count("*").cast("int").alias("block_count"), F.sum("stand_count").cast("long").alias("stand_count"), F.max(block_extent).alias("widest_block_m")
-    ).withColumn("within_target_block_count", F.col("block_count").between(*P.TARGET_BLOCKS))
+def rollup(blocks: DataFrame) -> DataFrame:
+    """Counts, extents and flags per cluster of blocks: cluster_id, x, y (centroid), corners (array of x, y structs), stand_count.
+
+    Extents are those of the centroids and of all corners: a cluster sends its hulls' corners only. A block without corners
+    counts, but has no part in the geometry's extent.
+    """
+    counts = blocks.groupBy("cluster_id").agg(F.count("*").cast("int").alias("block_count"), F.sum("stand_count").cast("long").alias("stand_count"))
+    spread = blocks.select("cluster_id", F.explode("corners").alias("c")).select("cluster_id", "c.x", "c.y")
+    for name, points in {"centroid_extent_m": blocks, "geometry_extent_m": spread}.items():
+        counts = counts.join(group_extent(points.select("cluster_id", "x", "y"), "cluster_id").withColumnRenamed("extent_m", name), "cluster_id", "left")
+    wide = F.col("geometry_extent_m")
+    flags = {"oversized": wide > P.CLUSTER_EXTENT_M, "within_target_extent": wide <= P.TARGET_EXTENT_M, "within_target_block_count": F.col("block_count").between(*P.TARGET_BLOCKS)}
+    return counts.withColumns(flags)

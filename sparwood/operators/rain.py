@@ -7,7 +7,7 @@ on px; aggregates are conditional sums, events and rolling sums are window funct
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import priors as P
@@ -116,6 +116,11 @@ def air(hours: DataFrame, local_shift_hours: int | None = None, zone: str = "Eur
     )
 
 
+def hour_series(spark: SparkSession, now: str, hours: int = P.MET_HOURS) -> DataFrame:
+    """hour: the last so many full hours up to now, that of now included."""
+    return spark.range(hours).select(F.expr(f"timestampadd(HOUR, cast(-id as int), date_trunc('hour', timestamp_ntz'{now}'))").cast("timestamp_ntz").alias("hour"))
+
+
 def hour_coverage(hours: DataFrame, now: str, expected: int = P.MET_HOURS) -> DataFrame:
     """One row: hours fetched as a part of those expected, and the age of the newest."""
     return hours.agg((F.countDistinct("hour") / expected).alias("met_coverage"), F.max("hour").alias("newest")).select("met_coverage", hours_before(now, "newest").alias("met_age_hours"))

@@ -141,38 +141,159 @@ def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
-def buffered_overlap(a: np.ndarray, b: np.ndarray, radius: float, step: float = 0.25) -> float:
-    """Area shared by the buffers of two polygons: exact for convex ones, else counted on points ``step`` apart."""
-    if all(area(hull(r)) - area(r) < 1e-6 * max(1.0, area(r)) for r in (a, b)):
-        return area(c) if len(c := clip_convex(buffer_convex(a, radius), buffer_convex(b, radius))) > 2 else 0.0
-    lo = np.maximum(a.min(0), b.min(0)) - radius
-    hi = np.minimum(a.max(0), b.max(0)) + radius
-    xs = np.arange(lo[0] + step / 2, hi[0], step)
-    both = 0
-    for y in np.arange(lo[1] + step / 2, hi[1], step):
-        both += int((_within(xs, y, a, radius) & _within(xs, y, b, radius)).sum())
-    return both * step * step
-
-
-def _within(xs: np.ndarray, y: float, ring: np.ndarray, radius: float) -> np.ndarray:
-    """Which points of a level line are inside a ring or at most radius from it."""
-    s = segments(ring)
-    cross = s[(s[:, 1] <= y) != (s[:, 3] <= y)]
-    at = cross[:, 0] + (y - cross[:, 1]) * (cross[:, 2] - cross[:, 0]) / (cross[:, 3] - cross[:, 1])
-    found = (at[None] > xs[:, None]).sum(1) % 2 == 1
-    for x1, y1, x2, y2 in s[(np.minimum(s[:, 1], s[:, 3]) <= y + radius) & (np.maximum(s[:, 1], s[:, 3]) >= y - radius)]:
-        dx, dy = x2 - x1, y2 - y1
-        t = np.clip(((xs - x1) * dx + (y - y1) * dy) / max(dx * dx + dy * dy, 1e-300), 0, 1)
-        found |= np.hypot(xs - x1 - t * dx, y - y1 - t * dy) <= radius
-    return found
-
-
-def classify(a: np.ndarray, b: np.ndarray) -> tuple[str, float, float] | None:
-    """Kind, length and gap of two stands' contact: touching along at least CONTACT_M, or near over a gap; else None."""
-    shared = shared_boundary(a, b)
+#: Metres to which corners of unions are rounded, and at which the two sides of an edge are looked at.
+_SNAP, _BESIDE = 1e-6, 1e-4
+
+
+def _within_any(points: np.ndarray, s: np.ndarray, shape: np.ndarray, n: int) -> np.ndarray:
+    """Which points are inside any of n shapes (even-odd), given by the segments of their rings."""
+    out = np.zeros(len(points), bool)
+    step = max(1, (1 << 21) // max(1, len(s)))
+    rise = np.where(s[:, 3] == s[:, 1], 1.0, s[:, 3] - s[:, 1])
+    for k in range(0, len(points), step):
+        p = points[k : k + step]
+        cross = (s[None, :, 1] <= p[:, None, 1]) != (s[None, :, 3] <= p[:, None, 1])
+        row, seg = np.nonzero(cross)
+        x = s[seg, 0] + (p[row, 1] - s[seg, 1]) * (s[seg, 2] - s[seg, 0]) / rise[seg]
+        east = x > p[row, 0]
+        code, count = np.unique(row[east] * n + shape[seg[east]], return_counts=True)
+        out[k + np.unique(code[count % 2 == 1] // n)] = True
+    return out
+
+
+def _cuts(s: np.ndarray) -> list[np.ndarray]:
+    """Of each segment the places (0 to 1) at which others cross it, end on it or run along it."""
+    d = s[:, 2:] - s[:, :2]
+    long2 = np.maximum((d * d).sum(1), 1e-300)
+    out = [[np.array([0.0, 1.0])] for _ in s]
+    lo, hi = np.minimum(s[:, :2], s[:, 2:]) - _BESIDE, np.maximum(s[:, :2], s[:, 2:]) + _BESIDE
+    step = max(1, (1 << 21) // max(1, len(s)))
+    for k in range(0, len(s), step):
+        a, b = np.nonzero(((lo[k : k + step, None] <= hi[None]) & (lo[None] <= hi[k : k + step, None])).all(2))
+        a = a + k
+        a, b = a[a != b], b[a != b]
+        w = s[b, :2] - s[a, :2]
+        turn = d[a, 0] * d[b, 1] - d[a, 1] * d[b, 0]
+        flat = np.abs(turn) <= 1e-12 * np.sqrt(long2[a] * long2[b])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(flat, np.nan, (w[:, 0] * d[b, 1] - w[:, 1] * d[b, 0]) / turn)
+            u = np.where(flat, np.nan, (w[:, 0] * d[a, 1] - w[:, 1] * d[a, 0]) / turn)
+        meets = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        for i, v in zip(a[meets].tolist(), t[meets].tolist()):
+            out[i].append(np.array([v]))
+        for end in (s[b, :2], s[b, 2:]):
+            at = ((end - s[a, :2]) * d[a]).sum(1) / long2[a]
+            off = np.hypot(*(end - s[a, :2] - at[:, None] * d[a]).T)
+            on = (off <= 10 * _SNAP) & (at > 0) & (at < 1)
+            for i, v in zip(a[on].tolist(), at[on].tolist()):
+                out[i].append(np.array([v]))
+    return [np.unique(np.concatenate(c)) for c in out]
+
+
+def union(shapes: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Outline of the union of shapes (each its rings, even-odd): shells counter-clockwise, holes clockwise; without any, none.
+
+    All edges are cut where they meet; of the pieces those remain that have the union on one side only, which is looked up
+    beside their middles, and these are linked to rings. Corners are rounded to a micrometre.
+    """
+    snap = lambda p: np.round(np.asarray(p, float) / _SNAP) * _SNAP
+    own = [(k, segments(snap(r))) for k, rings in enumerate(shapes) for r in rings if len(r) > 2]
+    if not own:
+        return []
+    s = np.vstack([x for _, x in own])
+    shape = np.repeat([k for k, _ in own], [len(x) for _, x in own])
+    some = (s[:, :2] != s[:, 2:]).any(1)
+    s, shape = s[some], shape[some]
+    ends = []
+    for (x1, y1, x2, y2), t in zip(s, _cuts(s)):
+        p = snap(np.stack([x1 + t * (x2 - x1), y1 + t * (y2 - y1)], 1))
+        p[0], p[-1] = (x1, y1), (x2, y2)
+        ends.append(np.hstack([p[:-1], p[1:]]))
+    e = np.vstack(ends)
+    back = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
+    e[back] = e[back][:, [2, 3, 0, 1]]
+    e = np.unique(e[(e[:, :2] != e[:, 2:]).any(1)], axis=0)
+    d = e[:, 2:] - e[:, :2]
+    side = _BESIDE * np.stack([-d[:, 1], d[:, 0]], 1) / np.hypot(*d.T)[:, None]
+    middle = (e[:, :2] + e[:, 2:]) / 2
+    left, right = (_within_any(middle + f * side, s, shape, len(shapes)) for f in (1, -1))
+    e = np.vstack([e[left & ~right], e[right & ~left][:, [2, 3, 0, 1]]])
+    return _linked(e)
+
+
+def _linked(e: np.ndarray) -> list[np.ndarray]:
+    """Rings of directed edges that have the inside on their left; where several go on, the one that turns back to the left most."""
+    start: dict[tuple[float, float], list[int]] = {}
+    for i, p in enumerate(map(tuple, e[:, :2].tolist())):
+        start.setdefault(p, []).append(i)
+    free, rings = np.ones(len(e), bool), []
+    angle = np.arctan2(e[:, 3] - e[:, 1], e[:, 2] - e[:, 0])
+    for i in range(len(e)):
+        ring, at = [], i
+        while free[at]:
+            free[at] = False
+            ring.append(e[at, :2])
+            on = [k for k in start.get(tuple(e[at, 2:].tolist()), ()) if free[k]]
+            if not on:
+                break
+            at = max(on, key=lambda k: (angle[k] - angle[at] + math.pi) % (2 * math.pi)) if len(on) > 1 else on[0]  # noqa: B023
+        if len(ring) > 2:
+            rings.append(_straight(np.array(ring)))
+    return rings
+
+
+def _straight(ring: np.ndarray) -> np.ndarray:
+    """A ring without the corners at which it goes straight on."""
+    d, f = ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring
+    turn = np.abs(d[:, 0] * f[:, 1] - d[:, 1] * f[:, 0]) > 10 * _SNAP * np.minimum(np.hypot(*d.T), np.hypot(*f.T))
+    return ring[turn] if turn.sum() > 2 else ring
+
+
+def signed_area(ring: np.ndarray) -> float:
+    r = np.asarray(ring, float) - ring[0]
+    return float(np.sum(r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1])) / 2
+
+
+def perimeter(ring: np.ndarray) -> float:
+    return float(np.hypot(*(np.roll(ring, -1, 0) - ring).T).sum())
+
+
+def buffer(shape: list[np.ndarray], radius: float, closed: bool = True) -> list[np.ndarray]:
+    """Outline of all points at most radius from a polygon (its rings) or, not closed, from lines; arcs as in :func:`buffer_convex`."""
+    parts: list[list[np.ndarray]] = [shape] if closed else []
+    for r in shape:
+        r = np.asarray(r, float)
+        if len(r) == 1 or (r == r[0]).all():
+            a = np.arange(4 * QUADRANT) * math.pi / 2 / QUADRANT
+            parts.append([r[0] + radius * np.stack([np.cos(a), np.sin(a)], 1)])
+            continue
+        s = segments(r) if closed else np.hstack([r[:-1], r[1:]])
+        parts += [[buffer_convex(np.array([[x1, y1], [x2, y2]]), radius)] for x1, y1, x2, y2 in s if (x1, y1) != (x2, y2)]
+    return union(parts)
+
+
+def _convex(ring: np.ndarray) -> bool:
+    return area(hull(ring)) - area(ring) < 1e-6 * max(1.0, area(ring))
+
+
+def buffered_overlap(a: list[np.ndarray], b: list[np.ndarray], radius: float) -> float:
+    """Area shared by the buffers of two polygons, given by their parts' shells."""
+    if len(a) == len(b) == 1 and _convex(a[0]) and _convex(b[0]):
+        return area(c) if len(c := clip_convex(buffer_convex(a[0], radius), buffer_convex(b[0], radius))) > 2 else 0.0
+    grown = [union([[r] for r in p] + [buffer([r], radius) for r in p]) for p in (a, b)]
+    total = lambda rings: sum(map(signed_area, rings))
+    return max(0.0, total(grown[0]) + total(grown[1]) - total(union(grown)))
+
+
+def classify(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[str, float, float] | None:
+    """Kind, length and gap of the contact of two stands (their parts' shells): touching along at least CONTACT_M, or near over a gap; else None.
+
+    Contacts of all parts add up, the smallest gap counts.
+    """
+    shared = sum(shared_boundary(p, q) for p in a for q in b)
     if shared >= P.CONTACT_M:
         return "touching", shared, 0.0
-    gap = distance(a, b)
+    gap = min(distance(p, q) for p in a for q in b)
     if not 0 < gap <= P.GAP_M:
         return None
     length = buffered_overlap(a, b, P.GAP_M) / P.GAP_M
@@ -180,30 +301,85 @@ def classify(a: np.ndarray, b: np.ndarray) -> tuple[str, float, float] | None:
 
 
 def adjacency(stands: DataFrame, size: float = 500.0) -> DataFrame:
-    """id_a < id_b, adjacency_type, length_m, gap_m of stands in contact; stands: id, ring (array of x, y structs).
+    """id_a < id_b, adjacency_type, length_m, gap_m of stands in contact.
 
-    Candidate pairs come from an equi-join on the grid cells of the boxes, grown by the gap, and a box test; a pair counts in
-    the cell of its boxes' common lower left corner only. Rings are classified in Arrow batches.
+    stands: id (unique), and ring (array of x, y structs) or parts (array of such rings); parts of fewer than three corners,
+    and stands without others, touch nothing. Candidate pairs come from an equi-join on the grid cells of the boxes, grown by half
+    the gap and a metre against rounding, and a box test; a pair counts in the cell of its boxes' common lower left corner
+    only. Shapes are classified in Arrow batches.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = stands.where(F.size("ring") > 2).select(
-        "id", "ring", (F.array_min(xs) - P.GAP_M).alias("x0"), (F.array_max(xs) + P.GAP_M).alias("x1"), (F.array_min(ys) - P.GAP_M).alias("y0"), (F.array_max(ys) + P.GAP_M).alias("y1")
-    )
+    parts = F.filter(F.col("parts") if "parts" in stands.columns else F.array("ring"), lambda r: F.size(r) > 2)
+    all_ = lambda v: F.transform(F.flatten("parts"), lambda p: p[v])
+    grow = P.GAP_M / 2 + 1
+    box = stands.select("id", parts.alias("parts")).where(F.size("parts") > 0)
+    box = box.select("id", "parts", *[e.alias(f"{v}{k}") for v in "xy" for k, e in ((0, F.array_min(all_(v)) - grow), (1, F.array_max(all_(v)) + grow))])
     at = lambda c: F.floor(F.col(c) / size)
     cells = box.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
     a, b = cells.alias("a"), cells.alias("b")
     own = (F.col("a.cx") == F.floor(F.greatest("a.x0", "b.x0") / size)) & (F.col("a.cy") == F.floor(F.greatest("a.y0", "b.y0") / size))
     meet = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
     same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-    pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & meet & own).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.ring").alias("ra"), F.col("b.ring").alias("rb"))
+    pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & meet & own).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.parts").alias("pa"), F.col("b.parts").alias("pb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ring = lambda r: np.array([[p["x"], p["y"]] for p in r], float)
         for rows in batches:
-            out = [(i, j, *c) for i, j, ra, rb in rows.itertuples(index=False) if (c := classify(ring(ra), ring(rb)))]
+            out = [(i, j, *c) for i, j, pa, pb in rows.itertuples(index=False) if (c := classify(_rings(pa), _rings(pb)))]
             yield pd.DataFrame(out, columns=["id_a", "id_b", "adjacency_type", "length_m", "gap_m"])
 
-    return pairs.mapInPandas(run, "id_a bigint, id_b bigint, adjacency_type string, length_m double, gap_m double")
+    kind = dict(stands.dtypes)["id"]
+    return pairs.mapInPandas(run, f"id_a {kind}, id_b {kind}, adjacency_type string, length_m double, gap_m double")
+
+
+def _rings(parts) -> list[np.ndarray]:
+    return [np.array([[p["x"], p["y"]] for p in r], float) for r in parts]
+
+
+def text(rings: list[np.ndarray]) -> str:
+    """Outlines as WKT: every shell with the holes that lie in it."""
+    shells = [r for r in rings if signed_area(r) > 0]
+    holes: list[list[np.ndarray]] = [[] for _ in shells]
+    for h in (r for r in rings if signed_area(r) <= 0):
+        inner = (h[0] + h[1]) / 2 + _BESIDE * np.array([h[1][1] - h[0][1], h[0][0] - h[1][0]]) / np.hypot(*(h[1] - h[0]))
+        holder = [k for k, r in enumerate(shells) if inside(inner, r)]
+        if holder:
+            holes[min(holder, key=lambda k: signed_area(shells[k]))].append(h)
+    one = lambda r: "(" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in [*r, r[0]]) + ")"
+    return "MULTIPOLYGON (" + ", ".join("(" + ", ".join(map(one, [r, *h])) + ")" for r, h in zip(shells, holes)) + ")" if shells else "MULTIPOLYGON EMPTY"
+
+
+def dissolve(stands: DataFrame, key: str, size: float = 5000.0) -> DataFrame:
+    """key, area_m2, perimeter_m, outline (WKT) of the union of each group's polygons; stands: key and ring (array of x, y structs).
+
+    Polygons of a group are dissolved in each cell of a grid (by their lower left corners) first, then the cells' outlines, so a
+    task never holds all the polygons of a large group. Rings of fewer than three corners have no area; a group without
+    others gives no row.
+    """
+    kind = dict(stands.dtypes)[key]
+    low = lambda v: F.floor(F.array_min(F.transform("ring", lambda p: p[v])) / size).alias(f"c{v}")
+    cells = stands.where((F.size("ring") > 2) & F.col(key).isNotNull()).select(key, "ring", low("x"), low("y"))
+
+    def first(g: pd.DataFrame) -> pd.DataFrame:
+        out = union([[r] for r in _rings(g["ring"])])
+        return pd.DataFrame({key: [g[key].iloc[0]], "xs": [[r[:, 0].tolist() for r in out]], "ys": [[r[:, 1].tolist() for r in out]]})
+
+    def last(g: pd.DataFrame) -> pd.DataFrame:
+        out = union([[np.stack([x, y], 1) for x, y in zip(*r)] for r in zip(g["xs"], g["ys"])])
+        return pd.DataFrame({key: [g[key].iloc[0]], "area_m2": [sum(map(signed_area, out))], "perimeter_m": [sum(map(perimeter, out))], "outline": [text(out)]})
+
+    partial = cells.groupBy(key, "cx", "cy").applyInPandas(first, f"`{key}` {kind}, xs array<array<double>>, ys array<array<double>>")
+    return partial.groupBy(key).applyInPandas(last, f"`{key}` {kind}, area_m2 double, perimeter_m double, outline string")
+
+
+def buffered_lines(lines: DataFrame, key: str, radius: float = P.ECOTONE_BUFFER_M) -> DataFrame:
+    """key, area_m2, outline (WKT) of what lies at most radius from each line; lines: key and line (array of x, y structs). Empty and null lines give no row."""
+    kind = dict(lines.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(k, buffer(_rings([r]), radius, closed=False)) for k, r in rows.itertuples(index=False)]
+            yield pd.DataFrame([(k, sum(map(signed_area, o)), text(o)) for k, o in out], columns=[key, "area_m2", "outline"])
+
+    return lines.where(F.size("line") > 0).select(key, "line").mapInPandas(run, f"`{key}` {kind}, area_m2 double, outline string")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

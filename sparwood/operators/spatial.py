@@ -225,29 +225,30 @@ def lines_apart(segments: DataFrame, key: str, others: DataFrame, radius: float)
     return segments.select(key).distinct().join(hit, key, "left_anti")
 
 
-def zonal_means(zones: DataFrame, pixels: DataFrame, values: list[str], fallback: float = 1500.0) -> DataFrame:
+def zonal_means(zones: DataFrame, pixels: DataFrame, values: list[str], fallback: float = 1500.0, size: float | None = None) -> DataFrame:
     """Means of the pixels inside each zone's box (bounds included), else the nearest pixel's values within ``fallback`` of its centre.
 
-    zones: zid, xmin, ymin, xmax, ymax, x, y (centre). The fallback is taken only if the box holds no pixel; null values
+    zones: zid (unique), xmin, ymin, xmax, ymax, x, y (centre). The fallback is taken only if the box holds no pixel; null values
     are skipped by the means but count as pixels. Of equally near pixels the smaller px counts. pixels: px, x, y, values.
-    Zones that meet nothing come out with nulls.
+    Zones that meet nothing come out with nulls. size: width of the cells that boxes are met in.
     """
-    size = fallback
-    q = _clean(pixels).select("px", F.col("x").alias("xp"), F.col("y").alias("yp"), F.struct(*values).alias("v"))
-    q = q.withColumns({"cx": cell(F.col("xp"), size), "cy": cell(F.col("yp"), size)})
-    # The cells that either the box or the fallback's disc touches: one join serves both.
-    lo = lambda v: F.least(F.col(f"{v}min"), F.col(v) - size)
-    hi = lambda v: F.greatest(F.col(f"{v}max"), F.col(v) + size)
-    z = zones.select("zid", "x", "y", "xmin", "xmax", "ymin", "ymax")
-    for v in "xy":
-        z = z.withColumn(f"c{v}", F.explode(F.sequence(cell(lo(v), size), cell(hi(v), size))))
+    size = size or fallback
+    q = stored(_clean(pixels).select("px", F.col("x").alias("xp"), F.col("y").alias("yp"), *[F.col(c).alias(f"v_{c}") for c in values]), "pixels")
+
+    def meet(z: DataFrame, size: float, reach: dict[str, tuple[Column, Column]]) -> DataFrame:
+        for v, (lo, hi) in reach.items():
+            z = z.withColumn(f"c{v}", F.explode(F.sequence(cell(lo, size), cell(hi, size))))
+        at = q.withColumns({"cx": cell(F.col("xp"), size), "cy": cell(F.col("yp"), size)})
+        return z.join(F.broadcast(at) if small(q) is not q else at, ["cx", "cy"])
+
+    boxes = meet(zones.select("zid", "xmin", "xmax", "ymin", "ymax"), size, {v: (F.col(f"{v}min"), F.col(f"{v}max")) for v in "xy"})
+    held = boxes.where(F.col("xp").between(F.col("xmin"), F.col("xmax")) & F.col("yp").between(F.col("ymin"), F.col("ymax")))
+    means = stored(held.groupBy("zid").agg(*[F.avg(f"v_{c}").alias(c) for c in values]), "means")
+    left = _clean(zones).select("zid", "x", "y").join(means.select("zid"), "zid", "left_anti")
     d = F.hypot(F.col("x") - F.col("xp"), F.col("y") - F.col("yp"))
-    met = z.join(q, ["cx", "cy"]).withColumns({"in": F.col("xp").between(F.col("xmin"), F.col("xmax")) & F.col("yp").between(F.col("ymin"), F.col("ymax")), "d": d})
-    met = met.where(F.col("in") | (F.col("d") <= fallback))
-    means = [F.avg(F.when(F.col("in"), F.col("v")[c])).alias(c) for c in values]
-    near = F.min(F.when(~F.col("in"), F.struct("d", "px", "v"))).alias("near")
-    by = met.groupBy("zid").agg(F.count_if("in").alias("n"), *means, near)
-    found = by.select("zid", *[F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("near.v")[c]).alias(c) for c in values])
+    near = meet(left, fallback, {v: (F.col(v) - fallback, F.col(v) + fallback) for v in "xy"}).withColumn("d", d).where(F.col("d") <= fallback)
+    first = near.groupBy("zid").agg(F.min(F.struct("d", "px")).alias("b")).select("zid", F.col("b.px").alias("px"))
+    found = means.unionByName(first.join(q, "px").select("zid", *[F.col(f"v_{c}").alias(c) for c in values]))
     return zones.select("zid").join(found, "zid", "left")
 
 

@@ -1,37 +1,35 @@
-"""The steps from tables to a shortlist, each written to its own folder and read from there by the next."""
+"""The stages from tables to a shortlist and a daily state, each written to its own folder and read from there by the next."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scout
-
-Step = Callable[[SparkSession, str], DataFrame]
-
-STEPS: dict[str, Step] = {
-    "fractions": scout.stand_fractions,
-    "habitat": scout.stand_habitat,
-    "blocks": scout.forest_blocks,
-    "ecotones": scout.ecotone_score,
-    "access": scout.access_score_reason,
-    "weather": scout.weather_quality,
-    "fruiting": scout.fruiting_score,
-    "shortlist": scout.scout_shortlist,
-    "state": scout.daily_state_rollup,
-}
+from .stages import BUILD, Stages
 
 
 def run(spark: SparkSession, folder: str, out: str, skip: tuple[str, ...] = ()) -> dict[str, float]:
-    """Write every step's table to out/step, in order, but those to skip; seconds by step. Unknown names are an error."""
-    if unknown := set(skip) - set(STEPS):
-        raise ValueError(f"unknown steps: {', '.join(sorted(unknown))}")
-    took = {}
-    for name, step in STEPS.items():
-        if name not in skip:
-            began = time.monotonic()
-            step(spark, folder).write.mode("overwrite").parquet(f"{out}/{name}")
-            took[name] = time.monotonic() - began
+    """Write every stage to out/stage, in order; seconds by stage. Unknown names to skip are an error.
+
+    A skipped stage is read from out if an earlier run left it there; else what needs it builds it for itself.
+    """
+    if unknown := set(skip) - set(BUILD):
+        raise ValueError(f"unknown stages: {', '.join(sorted(unknown))}")
+    took: dict[str, float] = {}
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+
+    stages = Stages(spark, folder, keep)
+    for name in BUILD:
+        if name in skip:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+            if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                stages.tables[name] = spark.read.parquet(f"{out}/{name}")
+            continue
+        began = time.monotonic()
+        stages[name]
+        took[name] = time.monotonic() - began
     return took

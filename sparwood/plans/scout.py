@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs
@@ -16,7 +17,8 @@ from ..operators import composition as C
 from ..operators import partition, rain, shapes, spatial
 from ..operators import shortlist as L
 from ..operators import suppression as N
-from .views import FLAGSHIP_SLOTS, NOW, SEASON_DAY, SLOTS, view
+from .stages import AIR, BUCKET, RAIN, Stages, met, nearest_roads
+from .views import NOW, SLOTS, view
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -52,6 +54,14 @@ def stand_species_shares(spark, d):
     return rounded(C.shares(view(spark, d, "element")))
 
 
+@query
+def composition_attach(spark, d):
+    """Stands with their compositions, those without elements with an empty list."""
+    a = C.attached(view(spark, d, "stand").select("id"), view(spark, d, "element"), "id", ["puuliik_kood", "osakaal"])
+    share = F.aggregate("composition", F.lit(0.0), lambda t, e: t + e["osakaal"])
+    return a.select("id", F.size("composition").cast("bigint").alias("n"), r(share).alias("total"))
+
+
 def _stands(spark, d) -> DataFrame:
     return C.fractions(view(spark, d, "stand"), view(spark, d, "element"))
 
@@ -92,7 +102,7 @@ def stand_habitat(spark, d):
 
 
 def _ecotones(spark, d) -> DataFrame:
-    return C.ecotones(view(spark, d, "edge"), C.stand_scores(_stands(spark, d)))
+    return C.ecotones(view(spark, d, "edge"), Stages(spark, d)["stands"])
 
 
 @query
@@ -113,14 +123,8 @@ def ecotone_score(spark, d):
 # Roads and access
 
 
-def _road_points(spark, d) -> DataFrame:
-    p = view(spark, d, "road")
-    return p.select("rid", "car_class", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-
-
 def _nearest(spark, d, classes) -> DataFrame:
-    stands = view(spark, d, "stand").select(F.col("id").alias("pid"), "x", "y")
-    return spatial.nearest(stands, _road_points(spark, d).where(F.col("car_class").isin(*classes)), "rid")
+    return nearest_roads(Stages(spark, d), classes)
 
 
 @query
@@ -135,29 +139,22 @@ def nearest_by_class(spark, d):
     return reduce(lambda a, b: a.join(b, "id"), one)
 
 
-def _access(spark, d) -> DataFrame:
-    near = _nearest(spark, d, P.CAR_CLASSES).join(view(spark, d, "road").select("rid", "car_class"), "rid", "left")
-    dist = F.col("distance")
-    return near.select(
-        F.col("pid").alias("id"), dist.alias("nearest_car_road_m"), S.access_score(dist).alias("access_score"), F.col("car_class").alias("access_confidence"),
-        S.access_reason(dist, F.col("car_class")).alias("access_reason"),
-    )
-
-
 @query
 def access_score_reason(spark, d):
-    return rounded(_access(spark, d))
+    return rounded(Stages(spark, d).plan("access"))
 
 
 @query
 def car_class(spark, d):
-    t = spark.read.parquet(f"{d}/roads.parquet").where("tyyp_tekst <> 'Muu tee' or teekate_tekst is not null")
-    return t.select("road_id", S.car_class(F.col("tyyp_tekst"), F.col("teekate_tekst")).alias("car_class"))
+    """Class of every road by type and surface, compared with the recorded one; null (where the strict function raises) for unknown ones."""
+    t = spark.read.parquet(f"{d}/roads.parquet")
+    made = S.known_car_class(F.col("tyyp_tekst"), F.col("teekate_tekst"))
+    return t.select("road_id", made.alias("car_class"), made.isNull().alias("unknown"), made.eqNullSafe(F.col("car_class")).alias("as_recorded"))
 
 
 @query
 def best_of_two_access(spark, d):
-    e = L.best_access(view(spark, d, "edge"), _access(spark, d))
+    e = L.best_access(view(spark, d, "edge"), Stages(spark, d)["access"])
     return e.select("id_a", "id_b", r("access_modifier", 8).alias("access_modifier"), "access_confidence", r("nearest_car_road_m", 8).alias("nearest_car_road_m"), "scout_eligible")
 
 
@@ -179,6 +176,14 @@ def barrier_anti_join(spark, d):
     return spatial.anti_within(p, closed, 200.0).select(F.col("pid").alias("id"))
 
 
+@query
+def road_anti_join(spark, d):
+    """Roads of the tables, as whole lines, that no closed barrier comes near."""
+    lines = spatial.segments_of(spark.read.parquet(f"{d}/roads.parquet"), "road_id", "geometry")
+    closed = view(spark, d, "barrier").where(F.col("toke_tekst") == P.CLOSED)
+    return spatial.lines_apart(lines, "road_id", closed, 50.0)
+
+
 @query
 def zonal_mean_fallback(spark, d):
     z = view(spark, d, "stand").select(F.col("id").alias("zid"), "x", "y", (F.col("x") - 700).alias("xmin"), (F.col("x") + 700).alias("xmax"), (F.col("y") - 300).alias("ymin"), (F.col("y") + 300).alias("ymax"))
@@ -234,72 +239,60 @@ def met_hours(spark, d):
     return rounded(rain.hour_coverage(view(spark, d, "met").where(F.col("hour") >= F.expr(f"timestamp_ntz'{NOW}' - INTERVAL 72 HOUR")), NOW))
 
 
-def _pixels(spark, d, slots) -> DataFrame:
-    f = rain.bins(rain.features(view(spark, d, "slot"), NOW, slots))
-    cov = {n: F.col(f"coverage_{n}d") for n in (3, 7, 14)}
-    f = f.withColumns({"wet_hours_72h": S.if_covered(F.col("wet_hours_72h"), cov[3]), "hours_since_significant_rain": S.if_covered(F.col("hours_since_significant_rain"), cov[14])})
-    return f
-
-
 @query
 def weather_quality(spark, d):
-    met = rain.hour_coverage(view(spark, d, "met").where(F.col("hour") >= F.expr(f"timestamp_ntz'{NOW}' - INTERVAL 72 HOUR")), NOW)
-    f = _pixels(spark, d, SLOTS).crossJoin(F.broadcast(met))
-    q = S.data_quality({n: F.col(f"coverage_{n}d") for n in (3, 7, 14)}, F.col("met_age_hours"), F.col("met_coverage"))
-    return f.select("px", q.alias("quality"), r("wet_hours_72h", 8).alias("wet_hours_72h"), r("hours_since_significant_rain", 8).alias("hours_since_significant_rain"))
+    """Quality of every pixel's weather."""
+    f = rain.features(view(spark, d, "slot"), NOW, SLOTS).crossJoin(F.broadcast(met(Stages(spark, d))))
+    cov = {n: F.col(f"coverage_{n}d") for n in (3, 7, 14)}
+    q = S.data_quality(cov, F.col("met_age_hours"), F.col("met_coverage"))
+    wet, since = S.if_covered(F.col("wet_hours_72h"), cov[3]), S.if_covered(F.col("hours_since_significant_rain"), cov[14])
+    return f.select("px", q.alias("quality"), r(wet).alias("wet_hours_72h"), r(since).alias("hours_since_significant_rain"))
 
 
-def _weather(spark, d, slots=FLAGSHIP_SLOTS) -> DataFrame:
-    """Weather of every stand: pixels are dealt out by id modulo their number, air cells by id modulo 25."""
-    px = view(spark, d, "pixel").select("px")
-    nth = px.withColumn("nth", (F.row_number().over(Window.orderBy("px")) - 1).cast("bigint"))
-    n = px.agg(F.count("*").alias("n_px"))
-    met = rain.hour_coverage(view(spark, d, "met").where(F.col("hour") >= F.expr(f"timestamp_ntz'{NOW}' - INTERVAL 72 HOUR")), NOW)
-    stands = view(spark, d, "stand").select("id").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(met))
-    stands = stands.withColumns({"nth": F.col("id") % F.col("n_px"), "cell": F.col("id") % 25})
-    w = stands.join(nth, "nth").join(_pixels(spark, d, slots), "px", "left").join(rain.air(view(spark, d, "met"), 2), "cell", "left")
-    met_ok = F.coalesce((F.col("met_age_hours") <= P.STALE_HOURS) & (F.col("met_coverage") >= P.MIN_COVERAGE), F.lit(False))
-    w = w.withColumns({c: F.when(met_ok, F.col(c)) for c in ("temp_mean", "temp_night", "rh_mean", "rh_night")})
-    q = S.data_quality({k: F.col(f"coverage_{k}d") for k in (3, 7, 14)}, F.col("met_age_hours"), F.col("met_coverage"))
-    return w.withColumns({"quality": q, "coverage": F.coalesce("coverage_14d", F.lit(0.0)), "as_of": F.expr(f"timestamp_ntz'{NOW}'")})
+@query
+def stand_weather(spark, d):
+    """Weather of every stand by place."""
+    w = Stages(spark, d).plan("weather")
+    return rounded(w.select("id", "quality", "coverage", "as_of", *[c for c in (*RAIN, *AIR) if not c.startswith("coverage")], "rain_0_3d_mm", "rain_3_7d_mm", "rain_7_14d_mm"))
 
 
-def _fruiting(spark, d) -> DataFrame:
-    w = _weather(spark, d)
-    bins = [F.col(c) for c in ("rain_0_3d_mm", "rain_3_7d_mm", "rain_7_14d_mm")]
-    w = w.withColumns({"temperature": S.temperature_modifier(F.col("temp_mean"), F.col("temp_night")), "persistence": S.persistence_modifier(F.col("rh_night"), F.col("wet_hours_72h"), F.col("hours_since_significant_rain"))})
-    w = w.withColumns({f"moisture_{s}": S.moisture_trigger(s, bins) for s in P.SPECIES})
-    return w.withColumns({f"fruiting_{s}": S.season_prior(s, SEASON_DAY) * F.col(f"moisture_{s}") * F.col("temperature") * F.col("persistence") for s in P.SPECIES})
+@query
+def air_hours(spark, d):
+    """The 72 hours that the air model should have, and whether it has them."""
+    hours = rain.hour_series(spark, NOW)
+    have = view(spark, d, "met").select("hour").distinct().withColumn("there", F.lit(True))
+    return hours.join(have, "hour", "left").select("hour", F.coalesce("there", F.lit(False)).alias("there"))
 
 
 @query
 def fruiting_components(spark, d):
-    return rounded(_fruiting(spark, d).select("id", "temperature", "persistence", *[f"moisture_{s}" for s in P.SPECIES]))
+    return rounded(Stages(spark, d).plan("fruiting").select("id", "temperature", "persistence", *[f"moisture_{s}" for s in P.SPECIES]))
 
 
 @query
 def fruiting_score(spark, d):
-    return rounded(_fruiting(spark, d).select("id", "quality", "coverage", *[f"fruiting_{s}" for s in P.SPECIES]))
+    return rounded(Stages(spark, d).plan("fruiting").select("id", "quality", "coverage", *[f"fruiting_{s}" for s in P.SPECIES]))
 
 
 @query
 def season_priors(spark, d):
-    """Every species' prior on every day of the year's second half."""
-    days = [f"{m:02d}-{k:02d}" for m in range(6, 11) for k in (1, 8, 15, 20, 28)]
+    """Every species' prior on every day of the year."""
+    days = [str(k)[5:] for k in np.arange("2000-01-01", "2001-01-01", dtype="datetime64[D]")]
     return spark.createDataFrame([(k, s, round(S.season_prior(s, k), 6)) for k in days for s in P.SPECIES], "month_day string, species string, prior double")
 
 
 @query
 def fruiting_join_strict(spark, d):
-    e = L.mean_fruiting(view(spark, d, "edge"), _fruiting(spark, d))
+    e = L.mean_fruiting(view(spark, d, "edge"), Stages(spark, d)["fruiting"])
     return rounded(e.select("id_a", "id_b", *[f"fruiting_{s}" for s in P.SPECIES], "weather_quality", "weather_coverage"))
 
 
 @query
 def worst_quality(spark, d):
+    """Every weather row with the row of the next number."""
     w = spark.read.parquet(f"{d}/weather_eraldis.parquet").select("weather_no", "weather_data_quality")
-    pair = w.withColumn("other", F.lead("weather_data_quality").over(Window.partitionBy(F.floor(F.col("weather_no") / 50)).orderBy("weather_no")))
-    return pair.select("weather_no", S.worst_quality(F.col("weather_data_quality"), F.col("other")).alias("worst"))
+    nxt = w.select((F.col("weather_no") - 1).alias("weather_no"), F.col("weather_data_quality").alias("other"))
+    return w.join(nxt, "weather_no", "left").select("weather_no", S.worst_quality(F.col("weather_data_quality"), F.col("other")).alias("worst"))
 
 
 # Blocks and clusters
@@ -307,9 +300,7 @@ def worst_quality(spark, d):
 
 @query
 def forest_blocks(spark, d):
-    comp = G.components(view(spark, d, "stand"), view(spark, d, "edge"))
-    blocks = G.numbered(comp)
-    return blocks.groupBy("block_id", "root").agg(F.count("*").alias("n_stands"))
+    return Stages(spark, d).plan("blocks").groupBy("block_id", "root").agg(F.count("*").alias("n_stands"))
 
 
 def _blocks(spark, d) -> DataFrame:
@@ -344,84 +335,92 @@ def block_boundary_proximity(spark, d):
 
 @query
 def block_proximity(spark, d):
-    """Centre points of the blocks that its SQL takes (up to 400); block_boundary_proximity is the whole join."""
-    p = _centres(spark, d).where("block_id <= 400").withColumnRenamed("block_id", "pid")
+    """Centre points of the blocks; block_boundary_proximity is the join of their boundaries."""
+    p = _centres(spark, d).withColumnRenamed("block_id", "pid")
     return spatial.near_pairs(p, P.BLOCK_PROXIMITY_M, [], inclusive=True).select(F.col("pid_a").alias("id_a"), F.col("pid_b").alias("id_b"), r("distance", 8).alias("distance_m"))
 
 
 @query
 def macrocluster_partition(spark, d):
-    b = _centres(spark, d)
-    roots = partition.clusters(_squares(b), block_boundary_proximity(spark, d))
-    joined = G.numbered(roots, name="cluster_id").join(b, "block_id")
-    counts = partition.rollup(joined.withColumn("extent_m", F.lit(0.0))).drop("widest_block_m")
-    ext = shapes.group_extent(joined.select("cluster_id", "x", "y"), "cluster_id").withColumnRenamed("extent_m", "centroid_extent_m")
-    return rounded(counts.join(ext, "cluster_id"), 3)
+    """Clusters with their counts, extents and flags."""
+    blocks = _squares(_centres(spark, d))
+    roots = partition.clusters(blocks, block_boundary_proximity(spark, d))
+    return rounded(partition.rollup(G.numbered(roots, name="cluster_id").join(blocks, "block_id")), 3)
 
 
-# Shortlist
+@query
+def macrocluster_rollup(spark, d):
+    """Counts, extents and flags of given clusters: suppliers' blocks by place, in squares of 12 km."""
+    blocks = _squares(_centres(spark, d))
+    given = (F.floor(F.col("x") / 12000) * 100000 + F.floor(F.col("y") / 12000)).cast("long")
+    return rounded(partition.rollup(blocks.withColumn("cluster_id", given)), 3)
+
+
+# Polygons
+
+
+def _parcels(spark, d) -> DataFrame:
+    """Customers as squares of 100 m in rows: every other pair of columns touches, the others are 8 m apart, every six columns a block."""
+    p = view(spark, d, "parcel")
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    return p.select("id", "block", F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners]).alias("ring"))
 
 
 @query
-def nms_suppression(spark, d):
-    n = N.suppress(view(spark, d, "nms_input"), ["bucket"], "score", ["id"], "id")
-    return n.select("id", "bucket", "rank_before", "suppressed_by", r("suppressed_m", 8).alias("suppressed_m"))
+def parcel_adjacency(spark, d):
+    """Contacts of parcels (JN-1 to JN-3); lengths of those that touch."""
+    a = shapes.adjacency(_parcels(spark, d))
+    return a.select("id_a", "id_b", "adjacency_type", r(F.when(F.col("adjacency_type") == "touching", F.col("length_m"))).alias("length_m"), r("gap_m").alias("gap_m"))
 
 
-def _long(spark, d) -> DataFrame:
-    e = L.best_access(_ecotones(spark, d), _access(spark, d))
-    e = L.mean_fruiting(e, _fruiting(spark, d))
-    e = L.with_region(e, view(spark, d, "region_of"))
-    at = view(spark, d, "stand").select("id", "x", "y")
-    side = lambda k: at.select(F.col("id").alias(f"id_{k}"), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}"))
-    e = e.join(side("a"), "id_a").join(side("b"), "id_b").withColumns({"x": (F.col("x_a") + F.col("x_b")) / 2, "y": (F.col("y_a") + F.col("y_b")) / 2})
-    keep = ["id_a", "id_b", "region", "is_cross", "x", "y", "access_modifier", "scout_eligible"]
-    long = L.by_species(e.select(*keep, *[f"ecotone_{s}" for s in P.SPECIES], *[f"fruiting_{s}" for s in P.SPECIES]))
-    # Scores are compared and ranked at a fixed precision, so that ties don't hang on the last bits.
-    return long.withColumn("scout_score", F.round("scout_score", 6))
+@query
+def block_outlines(spark, d):
+    """Area, length of the outline and parts of each block's parcels dissolved into one shape."""
+    o = shapes.dissolve(_parcels(spark, d), "block")
+    return o.select("block", r("area_m2", 3).alias("area_m2"), r("perimeter_m", 3).alias("perimeter_m"))
+
+
+# Shortlist
 
 
-def _selected(spark, d) -> tuple[DataFrame, DataFrame]:
-    return L.select(L.gated(_long(spark, d), ["region", "species"]), ["region", "species"])
+@query
+def nms_suppression(spark, d):
+    n = N.suppress(view(spark, d, "nms_input"), ["bucket"], "score", ["id"], "id")
+    return n.select("id", "bucket", "rank_before", "suppressed_by", r("suppressed_m", 8).alias("suppressed_m"))
 
 
 @query
 def scout_shortlist(spark, d):
-    ranked, _ = _selected(spark, d)
-    return ranked.select("species", "region", "id_a", "id_b", "rank", "rank_before", r("scout_score", 8).alias("scout_score"), "nearby_suppressed_count", r("best_suppressed_score", 8).alias("best_suppressed_score"))
+    ranked = Stages(spark, d).plan("ranked")
+    return ranked.select("species", "region", "id_a", "id_b", "rank", F.col("rank_before"), r("scout_score", 8).alias("scout_score"), "nearby_suppressed_count", r("best_suppressed_score", 8).alias("best_suppressed_score"))
 
 
 @query
 def suppressed_examples(spark, d):
-    _, examples = _selected(spark, d)
-    return examples.select("species", "region", "id_a", "id_b", "suppressed_by", r("suppressed_m", 8).alias("suppressed_m"), "nth")
+    return Stages(spark, d).plan("examples").select("species", "region", "id_a", "id_b", "suppressed_by", r("suppressed_m", 8).alias("suppressed_m"), "nth")
 
 
 @query
 def remote_high_value(spark, d):
-    return L.remote(_long(spark, d)).select("species", "id_a", "id_b", "rank", r("ecotone", 8).alias("ecotone"), "exclusion_reason")
+    return Stages(spark, d).plan("remote").select("species", "id_a", "id_b", "rank", r("ecotone", 8).alias("ecotone"), "exclusion_reason")
 
 
 @query
 def coverage_gate(spark, d):
-    return rounded(L.coverage(_long(spark, d), ["region", "species"]))
+    return rounded(L.coverage(Stages(spark, d).plan("candidates"), BUCKET))
 
 
 @query
 def tier_union(spark, d):
-    long = _long(spark, d)
-    ranked, examples = L.select(L.gated(long, ["region", "species"]), ["region", "species"])
-    ok = L.gated(long, ["species"])
-    t = L.tiers({"ranked": ranked, "suppressed": examples, "remote": L.remote(ok)}, ["tier", "species", "region", "id_a", "id_b", "rank", "exclusion_reason"])
+    s = Stages(spark, d)
+    ok = L.gated(s["candidates"], ["species"])
+    t = L.tiers({"ranked": s.plan("ranked"), "suppressed": s.plan("examples"), "remote": L.remote(ok)}, ["tier", "species", "region", "id_a", "id_b", "rank", "exclusion_reason"])
     return t.groupBy("tier", "species").agg(F.count("*").alias("n"), F.sum("rank").cast("bigint").alias("ranks"), F.count("exclusion_reason").alias("reasons"))
 
 
 @query
 def daily_state_rollup(spark, d):
-    long = _long(spark, d)
-    ranked, _ = L.select(L.gated(long, ["region", "species"]), ["region", "species"])
-    regions = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("region"))
-    return rounded(L.daily_state(regions, ranked, long))
+    return rounded(Stages(spark, d).plan("state"))
 
 
 @query

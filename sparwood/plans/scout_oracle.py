@@ -87,6 +87,10 @@ def _sums(name: str, slots: dict[int, int]) -> dict[str, str]:
     }
 
 
+_WET = [*(f"rain_{d}d_mm" for d in (3, 7, 14)), *(f"coverage_{d}d" for d in (3, 7, 14)), "wet_hours_72h", "hours_since_any_rain"]
+_HELD = [*_WET, "hours_since_significant_rain"]
+_GATED = [("r0", "rain_3d_mm", 3), ("r7", "rain_7d_mm", 7), ("r14", "rain_14d_mm", 14), ("wet", "wet_hours_72h", 3), ("rained", "hours_since_any_rain", 14), ("hsr", "hours_since_significant_rain", 14)]
+_AIR = [("tm", "temp_mean"), ("tn", "temp_night"), ("rm", "rh_mean"), ("rn", "rh_night")]
 _QUALITY = """CASE WHEN q = '' THEN 'complete' ELSE q END"""
 _FLAGS = """concat_ws(';', CASE WHEN coalesce(coverage_3d, 0) < 0.7 THEN 'partial_radar_gap_3d' END, CASE WHEN coalesce(coverage_7d, 0) < 0.7 THEN 'partial_radar_gap_7d' END,
   CASE WHEN coalesce(coverage_14d, 0) < 0.7 THEN 'partial_radar_gap_14d' END,
@@ -94,14 +98,23 @@ _FLAGS = """concat_ws(';', CASE WHEN coalesce(coverage_3d, 0) < 0.7 THEN 'partia
 
 _FR |= _sums("", SLOTS) | _sums("f", FLAGSHIP_SLOTS)
 _FR |= {
-    "weather": f"""SELECT s.id, b.*, l.hours_since_significant_rain AS h0, m.met_coverage, m.met_age_hours, a.temp_mean AS tm0, a.temp_night AS tn0, a.rh_night AS rn0, {_FLAGS}
-      FROM stand s, met72 m, (SELECT count(*) AS n FROM pixel) n
-      JOIN (SELECT px, row_number() OVER (ORDER BY px) - 1 AS nth FROM pixel) p ON p.nth = s.id % n.n
-      LEFT JOIN binsf b ON b.px = p.px LEFT JOIN lasts l ON l.px = p.px LEFT JOIN airs a ON a.cell = s.id % 25""",
-    "parts": f"""SELECT id, {_QUALITY} AS quality, coalesce(coverage_14d, 0.0) AS coverage, rain_0_3d_mm AS r0, rain_3_7d_mm AS r1, rain_7_14d_mm AS r2,
-      CASE WHEN coverage_3d >= 0.7 THEN wet_hours_72h END AS wet, CASE WHEN coverage_14d >= 0.7 THEN h0 END AS hsr,
-      CASE WHEN met_age_hours <= 6 AND met_coverage >= 0.7 THEN tm0 END AS tm, CASE WHEN met_age_hours <= 6 AND met_coverage >= 0.7 THEN tn0 END AS tn,
-      CASE WHEN met_age_hours <= 6 AND met_coverage >= 0.7 THEN rn0 END AS rn FROM weather""",
+    # Weather by place: pixels in the stand's box, else the nearest within 3000 m; air of the nearest cell.
+    "pixelled": f"SELECT p.px, p.x, p.y, {', '.join(f'u.{c}' for c in _WET)}, l.hours_since_significant_rain FROM pixel p LEFT JOIN sumsf u ON u.px = p.px LEFT JOIN lasts l ON l.px = p.px",
+    "held": f"""SELECT id, {', '.join(f'CASE WHEN n > 0 THEN m_{c} ELSE v.{c} END AS {c}' for c in _HELD)} FROM (
+      SELECT s.id, count(*) FILTER (box) AS n, {', '.join(f'avg({c}) FILTER (box) AS m_{c}' for c in _HELD)},
+        arg_min(struct_pack({', '.join(f'{c} := {c}' for c in _HELD)}), (far, px)) FILTER (far <= 3000) AS v
+      FROM stand s LEFT JOIN (SELECT s.id, p.* EXCLUDE (x, y), p.x BETWEEN s.x - 700 AND s.x + 700 AND p.y BETWEEN s.y - 300 AND s.y + 300 AS box,
+          sqrt((s.x - p.x) ** 2 + (s.y - p.y) ** 2) AS far
+        FROM stand s JOIN pixelled p ON p.x BETWEEN s.x - 3000 AND s.x + 3000 AND p.y BETWEEN s.y - 3000 AND s.y + 3000) q ON q.id = s.id GROUP BY s.id)""",
+    "aired": """SELECT id, cell FROM (SELECT s.id, c.cell, row_number() OVER (PARTITION BY s.id ORDER BY round(sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2), 3), c.cell) AS n
+      FROM stand s CROSS JOIN met_cell c) WHERE n = 1""",
+    "weather": f"""SELECT {_QUALITY} AS quality, * FROM (SELECT h.*, a.* EXCLUDE (cell), m.*, {_FLAGS}
+      FROM (SELECT * REPLACE ({', '.join(f'coalesce(round(coverage_{d}d, 12), 0.0) AS coverage_{d}d' for d in (3, 7, 14))}) FROM held) h
+      JOIN aired n ON n.id = h.id LEFT JOIN airs a ON a.cell = n.cell CROSS JOIN met72 m)""",
+    "parts": f"""SELECT id, quality, coverage_14d AS coverage, {', '.join(f"CASE WHEN coverage_{d}d >= 0.7 THEN {c} END AS {a}" for a, c, d in _GATED)},
+      CASE WHEN coverage_3d >= 0.7 AND coverage_7d >= 0.7 THEN greatest(0.0, rain_7d_mm - rain_3d_mm) END AS r1,
+      CASE WHEN coverage_7d >= 0.7 AND coverage_14d >= 0.7 THEN greatest(0.0, rain_14d_mm - rain_7d_mm) END AS r2,
+      {', '.join(f"CASE WHEN met_age_hours <= 6 AND met_coverage >= 0.7 THEN {c} END AS {a}" for a, c in _AIR)} FROM weather""",
     "modifiers": f"""SELECT *, CASE WHEN tm IS NULL OR tn IS NULL THEN NULL ELSE
         (CASE WHEN tm < 2 OR tm > 26 THEN 0.4 WHEN tm < 8 THEN 0.4 + (tm - 2) / 6 * 0.6 WHEN tm <= 18 THEN 1.0 ELSE 1 - (tm - 18) / 8 * 0.6 END)
         * (CASE WHEN tn >= 2 THEN 1.0 WHEN tn <= -2 THEN 0.6 ELSE 1 - (2 - tn) / 4 * 0.4 END) END AS temperature,
@@ -115,15 +128,15 @@ _FR |= {
       CASE WHEN a.coverage <= b.coverage THEN a.coverage WHEN b.coverage < a.coverage THEN b.coverage END AS weather_coverage
       FROM edge e LEFT JOIN fruits a ON a.id = e.id_a LEFT JOIN fruits b ON b.id = e.id_b""",
     "long": " UNION ALL ".join(
-        f"""SELECT '{s}' AS species, e.id_a, e.id_b, g.region, (sa.x + sb.x) / 2 AS x, (sa.y + sb.y) / 2 AS y, e.ecotone_{s} AS ecotone, m.fruiting_{s} AS fruiting,
+        f"""SELECT '{s}' AS species, e.id_a, e.id_b, g.region, g.region <> h.region AS crosses, (sa.x + sb.x) / 2 AS x, (sa.y + sb.y) / 2 AS y, e.ecotone_{s} AS ecotone, m.fruiting_{s} AS fruiting,
         coalesce(r.nearest_car_road_m <= 1500, false) AS eligible,
         round(CASE WHEN r.nearest_car_road_m <= 1500 THEN e.ecotone_{s} * r.access_modifier * m.fruiting_{s} END, 6) AS score
         FROM scored e JOIN reach r ON r.id_a = e.id_a AND r.id_b = e.id_b JOIN means m ON m.id_a = e.id_a AND m.id_b = e.id_b
-        JOIN region_of g ON g.id = e.id_a JOIN stand sa ON sa.id = e.id_a JOIN stand sb ON sb.id = e.id_b"""
+        JOIN region_of g ON g.id = e.id_a JOIN region_of h ON h.id = e.id_b JOIN stand sa ON sa.id = e.id_a JOIN stand sb ON sb.id = e.id_b"""
         for s in P.SPECIES
     ),
     "covered": """SELECT region, species, CAST(count(*) FILTER (ecotone IS NOT NULL AND eligible) AS BIGINT) AS pool,
-      count(*) FILTER (ecotone IS NOT NULL AND eligible AND fruiting IS NOT NULL) / nullif(count(*) FILTER (ecotone IS NOT NULL AND eligible), 0) AS ratio FROM long GROUP BY region, species""",
+      count(*) FILTER (ecotone IS NOT NULL AND eligible AND fruiting IS NOT NULL) / nullif(count(*) FILTER (ecotone IS NOT NULL AND eligible), 0) AS ratio, count(*) FILTER (crosses) AS crossing FROM long GROUP BY region, species""",
     "open": """SELECT l.*, row_number() OVER (PARTITION BY l.region, l.species ORDER BY score DESC, id_a, id_b) AS pos FROM long l
       JOIN covered c ON c.region = l.region AND c.species = l.species AND coalesce(c.ratio, 1) >= 0.9 WHERE score IS NOT NULL""",
     # One step per place: the row is tried against the list of retained rows of its bucket.
@@ -205,8 +218,10 @@ ORACLE = {
     "nearest_by_class": f"""SELECT s.id, {_r("min(sqrt((s.x - r.x) ** 2 + (s.y - r.y) ** 2)) FILTER (r.car_class = 'HIGH_CONFIDENCE')", 8, 'high_m')},
       {_r("min(sqrt((s.x - r.x) ** 2 + (s.y - r.y) ** 2)) FILTER (r.car_class = 'WALK_ONLY')", 8, 'walk_m')} FROM stand s CROSS JOIN road r GROUP BY s.id""",
     "access_score_reason": f"SELECT id, {_r('nearest_car_road_m', 8)}, {_r('access_score', 8)}, access_confidence, access_reason FROM access",
-    "car_class": f"""SELECT road_id, CASE WHEN tyyp_tekst IN ({', '.join(f"'{k}'" for k in P.ROAD_CLASSES['HIGH_CONFIDENCE'])}) THEN 'HIGH_CONFIDENCE' WHEN tyyp_tekst IN ('Kergliiklustee', 'Rada') THEN 'WALK_ONLY'
-      WHEN teekate_tekst = 'Pinnas' THEN 'CONDITIONAL' ELSE 'NORMAL' END AS car_class FROM roads WHERE tyyp_tekst <> 'Muu tee' OR teekate_tekst IS NOT NULL""",
+    "car_class": f"""SELECT road_id, made AS car_class, made IS NULL AS unknown, made IS NOT DISTINCT FROM recorded AS as_recorded FROM (
+      SELECT road_id, car_class AS recorded, CASE WHEN tyyp_tekst IN ({', '.join(f"'{k}'" for k in P.ROAD_CLASSES['HIGH_CONFIDENCE'])}) THEN 'HIGH_CONFIDENCE'
+        WHEN tyyp_tekst IN ('Kergliiklustee', 'Rada') THEN 'WALK_ONLY' WHEN tyyp_tekst = 'Muu tee' AND teekate_tekst = 'Pinnas' THEN 'CONDITIONAL'
+        WHEN tyyp_tekst = 'Muu tee' AND teekate_tekst IN ('Püsikate', 'Kruuskate', 'Kivikate') THEN 'NORMAL' END AS made FROM roads)""",
     "best_of_two_access": f"SELECT id_a, id_b, {_r('access_modifier', 8)}, access_confidence, {_r('nearest_car_road_m', 8)}, coalesce(nearest_car_road_m <= 1500, false) AS scout_eligible FROM reach",
     "annulus_filter": "SELECT id FROM stand WHERE sqrt((x - 510000) ** 2 + (y - 6510000) ** 2) <= 8000 AND sqrt((x - 510000) ** 2 + (y - 6510000) ** 2) > 3000",
     "range_pairs": f"""SELECT a.id AS id_a, b.id AS id_b, {_r('sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)', 8, 'distance')} FROM stand a JOIN stand b
@@ -232,21 +247,52 @@ ORACLE = {
     "fruiting_score": f"SELECT id, quality, {_r('coverage', 8)}, {_each(lambda s: _r(f'fruiting_{s}', 8))} FROM fruits",
     "projection_3301": _projection(),
     "season_priors": f"""WITH knots(species, m, k, v) AS (VALUES {_SEASON}), k AS (SELECT species, make_date(2000, m, k) AS day, CAST(v AS DOUBLE) AS v FROM knots),
-      days AS (SELECT DISTINCT make_date(2000, m, d) AS day FROM range(6, 11) a(m), (VALUES (1), (8), (15), (20), (28)) b(d)),
+      days AS (SELECT CAST(day AS DATE) AS day FROM range(DATE '2000-01-01', DATE '2001-01-01', INTERVAL 1 DAY) a(day)),
       spans AS (SELECT species, day AS d0, v AS v0, lead(day) OVER w AS d1, lead(v) OVER w AS v1, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY species ORDER BY day))
       SELECT strftime(d.day, '%m-%d') AS month_day, s.species, round(max(CASE WHEN d.day <= d0 AND n = 1 THEN v0 WHEN d.day >= d0 AND d1 IS NULL THEN v0
         WHEN d.day > d0 AND d.day <= d1 THEN v0 + (v1 - v0) * (d.day - d0) / (d1 - d0) END), 6) AS prior FROM days d CROSS JOIN spans s GROUP BY d.day, s.species""",
     "fruiting_join_strict": f"SELECT id_a, id_b, {_each(lambda s: _r(f'fruiting_{s}', 8))}, weather_quality, {_r('weather_coverage', 8)} FROM means",
     "worst_quality": """SELECT weather_no, CASE WHEN a = b THEN a WHEN a = 'complete' THEN b WHEN b = 'complete' THEN a WHEN a < b THEN a WHEN b < a THEN b END AS worst FROM (
-      SELECT weather_no, weather_data_quality AS a, lead(weather_data_quality) OVER (PARTITION BY weather_no // 50 ORDER BY weather_no) AS b FROM weather_eraldis)""",
+      SELECT weather_no, weather_data_quality AS a, o.q AS b
+      FROM weather_eraldis LEFT JOIN (SELECT weather_no - 1 AS no, weather_data_quality AS q FROM weather_eraldis) o ON o.no = weather_no)""",
     # Edges only link a customer's consecutive orders, so components are islands.
-    "forest_blocks": """SELECT CAST(row_number() OVER (ORDER BY root) - 1 AS INTEGER) AS block_id, root, n_stands FROM (
+    "forest_blocks": """SELECT row_number() OVER (ORDER BY root) - 1 AS block_id, root, n_stands FROM (
       SELECT min(id) AS root, count(*) AS n_stands FROM (SELECT o.o_custkey AS c, o.o_orderkey AS id, sum(CASE WHEN e.id_b IS NULL THEN 1 ELSE 0 END)
         OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS island FROM orders o LEFT JOIN edge e ON e.id_b = o.o_orderkey) GROUP BY c, island)""",
     "block_extent": f"""SELECT block_id, {_r('m', 8, 'extent_m')}, m > 25000 AS oversized FROM (SELECT a.o_custkey AS block_id, max(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS m
       FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey JOIN stand p ON p.id = a.o_orderkey JOIN stand q ON q.id = b.o_orderkey GROUP BY a.o_custkey)""",
     "block_proximity": f"""SELECT a.rid AS id_a, b.rid AS id_b, {_r('3 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)', 8, 'distance_m')} FROM road a JOIN road b
-      ON a.rid < b.rid AND a.rid <= 400 AND b.rid <= 400 AND 9 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 64000000""",
+      ON a.rid < b.rid AND 9 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 64000000""",
+    # Boundaries of squares: the gaps along both axes.
+    "block_boundary_proximity": f"""SELECT id_a, id_b, {_r('d', 8, 'distance_m')} FROM (SELECT a.rid AS id_a, b.rid AS id_b,
+      sqrt(greatest(0.0, 3 * abs(a.x - b.x) - 1000) ** 2 + greatest(0.0, 3 * abs(a.y - b.y) - 1000) ** 2) AS d FROM road a JOIN road b ON a.rid < b.rid) WHERE d <= 8000""",
+    "macrocluster_rollup": f"""WITH {cte('road')}, b AS (SELECT rid, (x - 500000) * 3 + 400000 AS x, (y - 6500000) * 3 + 6400000 AS y FROM road),
+      c AS (SELECT *, CAST(floor(x / 12000) * 100000 + floor(y / 12000) AS BIGINT) AS cluster_id FROM b),
+      far AS (SELECT p.cluster_id, max(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS m, max(sqrt((abs(p.x - q.x) + 1000) ** 2 + (abs(p.y - q.y) + 1000) ** 2)) AS g
+        FROM c p JOIN c q ON q.cluster_id = p.cluster_id GROUP BY p.cluster_id)
+      SELECT c.cluster_id, CAST(count(*) AS INTEGER) AS block_count, CAST(sum(rid) AS BIGINT) AS stand_count, {_r('any_value(m)', 3, 'centroid_extent_m')}, {_r('any_value(g)', 3, 'geometry_extent_m')},
+        any_value(g) > 35000 AS oversized, any_value(g) <= 25000 AS within_target_extent, count(*) BETWEEN 5 AND 15 AS within_target_block_count
+      FROM c JOIN far ON far.cluster_id = c.cluster_id GROUP BY c.cluster_id""",
+    "parcel_adjacency": f"""SELECT id_a, id_b, CASE WHEN gap = 0 THEN 'touching' ELSE 'near_gap' END AS adjacency_type, {_r('CASE WHEN gap = 0 THEN side END', 8, 'length_m')}, {_r('gap', 8, 'gap_m')}
+      FROM (SELECT a.id AS id_a, b.id AS id_b, greatest(a.x0, b.x0) - least(a.x1, b.x1) AS gap, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS side FROM parcel a JOIN parcel b ON a.id < b.id)
+      WHERE side >= 20 AND gap BETWEEN 0 AND 10""",
+    "block_outlines": f"""SELECT p.block, {_r('p.n * 10000', 3, 'area_m2')}, {_r('p.n * 400 - 2 * coalesce(c.shared, 0)', 3, 'perimeter_m')} FROM (SELECT block, count(*) AS n FROM parcel GROUP BY block) p
+      LEFT JOIN (SELECT a.block, sum(least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared FROM parcel a JOIN parcel b ON a.block = b.block AND a.id < b.id
+        AND greatest(a.x0, b.x0) = least(a.x1, b.x1) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY a.block) c ON c.block = p.block""",
+    "composition_attach": f"SELECT s.id, count(e.id) AS n, {_r('coalesce(sum(e.osakaal), 0)', 8, 'total')} FROM stand s LEFT JOIN element e ON e.id = s.id GROUP BY s.id",
+    "stand_weather": f"""SELECT id, quality, {_r('coverage')}, {_N} AS as_of, {', '.join(_r(a, 8, c) for a, c, _ in _GATED)}, {', '.join(_r(a, 8, c) for a, c in _AIR)},
+      {_r('r0', 8, 'rain_0_3d_mm')}, {_r('r1', 8, 'rain_3_7d_mm')}, {_r('r2', 8, 'rain_7_14d_mm')} FROM parts""",
+    "air_hours": f"""SELECT h.hour, m.hour IS NOT NULL AS there FROM (SELECT unnest(range({_N} - INTERVAL 71 HOUR, {_N} + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour) h
+      LEFT JOIN (SELECT DISTINCT hour FROM met) m ON m.hour = h.hour""",
+    "road_anti_join": f"""WITH {cte('barrier')}, lines AS (SELECT road_id, unnest(regexp_extract_all(geometry, '\\(([^()]+)\\)', 1)) AS line FROM roads),
+      points AS (SELECT road_id, line_no, i, CAST(split_part(trim(p), ' ', 1) AS DOUBLE) AS x, CAST(split_part(trim(p), ' ', 2) AS DOUBLE) AS y FROM (
+        SELECT road_id, line_no, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT road_id, row_number() OVER () AS line_no, string_split(line, ',') AS ps FROM lines))),
+      segs AS (SELECT a.road_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM points a JOIN points b ON b.line_no = a.line_no AND b.i = a.i + 1),
+      near AS (SELECT road_id, b.x - x1 AS px, b.y - y1 AS py, x2 - x1 AS dx, y2 - y1 AS dy FROM segs JOIN barrier b ON b.toke_tekst = '{P.CLOSED}'
+          AND b.x BETWEEN least(x1, x2) - 50 AND greatest(x1, x2) + 50 AND b.y BETWEEN least(y1, y2) - 50 AND greatest(y1, y2) + 50),
+      hit AS (SELECT road_id FROM (SELECT *, greatest(0, least(1, coalesce((px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM near)
+        WHERE sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2) <= 50)
+      SELECT DISTINCT road_id FROM segs WHERE road_id NOT IN (SELECT road_id FROM hit)""",
     "scout_shortlist": f"""SELECT c.species, c.region, c.id_a, c.id_b, CAST(c.rank AS INTEGER) AS rank, CAST(c.pos AS INTEGER) AS rank_before, {_r('c.score', 8, 'scout_score')},
       coalesce(b.n, 0) AS nearby_suppressed_count, {_r('b.best', 8, 'best_suppressed_score')} FROM chosen c
       LEFT JOIN behind b ON b.region = c.region AND b.species = c.species AND b.pos = c.pos""",
@@ -257,10 +303,10 @@ ORACLE = {
       SELECT 'ranked' AS tier, species, rank, NULL AS why FROM chosen UNION ALL SELECT 'suppressed', species, NULL, NULL FROM examples
       UNION ALL SELECT 'remote', f.species, f.rank, f.exclusion_reason FROM far f WHERE f.species IN (SELECT species FROM long GROUP BY species
         HAVING coalesce(count(*) FILTER (ecotone IS NOT NULL AND eligible AND fruiting IS NOT NULL) / nullif(count(*) FILTER (ecotone IS NOT NULL AND eligible), 0), 1) >= 0.9)) GROUP BY tier, species""",
-    "daily_state_rollup": f"""SELECT n.n_nationkey AS region, {_each(lambda s: f'''coalesce(max(n_{s}), 0) AS {s}_ranked_count, {_r(f'max(t_{s})', 8, f'{s}_top_score')}, {_r(f'max(m_{s})', 8, f'{s}_top3_mean')},
+    "daily_state_rollup": f"""SELECT n.n_nationkey AS region, {_N} AS as_of, coalesce(max(z.crossing), 0) AS cross_count, {_each(lambda s: f'''coalesce(max(n_{s}), 0) AS {s}_ranked_count, {_r(f'max(t_{s})', 8, f'{s}_top_score')}, {_r(f'max(m_{s})', 8, f'{s}_top3_mean')},
         max(g_{s}) AS {s}_top_target, {_r(f'max(w_{s})', 8, f'{s}_weather_coverage_ratio')},
         CASE WHEN max(w_{s}) >= 0.9 THEN 'ok' WHEN max(w_{s}) IS NOT NULL THEN 'insufficient_coverage' END AS {s}_status''')}
-      FROM nation n LEFT JOIN (SELECT c.region, {_each(lambda s: f"CASE WHEN c.species = '{s}' THEN k.n END AS n_{s}, CASE WHEN c.species = '{s}' THEN k.t END AS t_{s}, CASE WHEN c.species = '{s}' THEN k.m END AS m_{s}, CASE WHEN c.species = '{s}' THEN k.g END AS g_{s}, CASE WHEN c.species = '{s}' THEN c.ratio END AS w_{s}")}
+      FROM nation n LEFT JOIN (SELECT c.region, c.crossing, {_each(lambda s: f"CASE WHEN c.species = '{s}' THEN k.n END AS n_{s}, CASE WHEN c.species = '{s}' THEN k.t END AS t_{s}, CASE WHEN c.species = '{s}' THEN k.m END AS m_{s}, CASE WHEN c.species = '{s}' THEN k.g END AS g_{s}, CASE WHEN c.species = '{s}' THEN c.ratio END AS w_{s}")}
         FROM covered c LEFT JOIN (SELECT region, species, count(*) AS n, max(score) AS t, avg(score) FILTER (rank <= 3) AS m, max(id_a || '_' || id_b) FILTER (rank = 1) AS g
           FROM chosen GROUP BY region, species) k ON k.region = c.region AND k.species = c.species) z ON z.region = n.n_nationkey GROUP BY n.n_nationkey""",
     "cross_cluster_count": "SELECT id_a % 7 AS region, CAST(sum(CASE WHEN id_a % 7 <> id_b % 7 THEN 1 ELSE 0 END) AS BIGINT) AS cross_count, count(*) AS edges FROM edge GROUP BY id_a % 7",

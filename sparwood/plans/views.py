@@ -41,13 +41,18 @@ VIEWS = {
     "region_of": "SELECT o.o_orderkey AS id, c.c_nationkey AS region FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey",
     "slot": """SELECT user_id AS px, ts, CASE event_type WHEN 'error' THEN CAST(NULL AS DOUBLE) WHEN 'view' THEN CAST(0.0 AS DOUBLE)
         ELSE CAST(value / 10 AS DOUBLE) END AS rate FROM {events}""",
-    "pixel": f"SELECT px, x, y FROM (SELECT DISTINCT user_id AS px, {_xy('user_id', 1361, 2741)} FROM {{events}}) q",
+    "pixel": f"SELECT px, x, y FROM (SELECT DISTINCT user_id AS px, {_xy('user_id', 15106, 11409)} FROM {{events}}) q",
     "met": """SELECT user_id % 25 AS cell, date_trunc('hour', ts) AS hour, CAST(value / 10 AS DOUBLE) AS temp,
         CAST(40 + event_id % 60 AS DOUBLE) AS rh FROM {events}""",
+    "met_cell": """SELECT cell, CAST(502000 + (cell % 5) * 4000 AS DOUBLE) AS x, CAST(6502000 + (cell - cell % 5) * 800 AS DOUBLE) AS y
+        FROM (SELECT DISTINCT user_id % 25 AS cell FROM {events}) q""",
     "road": f"""SELECT s_suppkey AS rid, {_xy('s_suppkey', 6151, 3571)},
         {case('s_nationkey % 4', {0: 'HIGH_CONFIDENCE', 1: 'NORMAL', 2: 'CONDITIONAL', 3: 'WALK_ONLY'})} AS car_class FROM {{supplier}}""",
     "barrier": f"""SELECT c_custkey AS oid, {_xy('c_custkey', 4801, 9973)}, {case('c_nationkey % 3', {0: P.CLOSED, 1: 'Avatav'})} AS toke_tekst
-        FROM {{customer}} WHERE c_custkey % 10 = 0""",
+        FROM {{customer}}""",
+    "parcel": """SELECT id, block, x0, x0 + 100 AS x1, y0, y0 + 100 AS y1 FROM (SELECT c_custkey AS id, c_custkey % 50 - c_custkey % 50 % 6 + (c_custkey - c_custkey % 50) AS block,
+        CAST(c_custkey % 50 * 104 - c_custkey % 50 % 2 * 4 + (c_custkey % 50 - c_custkey % 50 % 6) * 5 AS DOUBLE) AS x0,
+        CAST((c_custkey - c_custkey % 50) / 50 * 130 + c_custkey % 50 % 3 * 30 AS DOUBLE) AS y0 FROM {customer}) q""",
     "nms_input": f"SELECT c_custkey AS id, c_nationkey AS bucket, c_acctbal AS score, {_xy('c_custkey', 7919, 104729, 0, 0, 6007, 6011)} FROM {{customer}}",
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparwood.functions import crs
 from sparwood.functions import scoring as S
-from sparwood.operators import components, partition, rain, suppression
+from sparwood.operators import components, composition, ordering, partition, rain, suppression
 from sparwood.operators import shortlist as L
 
 
@@ -43,6 +43,9 @@ def test_scores_of_known_values_and_nulls(spark):
         _one(spark, S.car_class(F.lit("Muu tee"), F.lit(None).cast("string")))
     assert S.season_prior("porcini", "01-01") == 0.10 and S.season_prior("porcini", "08-20") == 1.0
     assert S.season_prior("chanterelle", "06-08") == pytest.approx(0.225)
+    with pytest.raises(Exception, match="coverage outside"):
+        _one(spark, S.coverage(F.lit(1.004)))
+    assert _one(spark, S.coverage(null)) == 0.0 and _one(spark, S.known_car_class(F.lit("Muu tee"), F.lit(None).cast("string"))) is None
     assert _one(spark, S.boolean(F.lit("False"))) is False and _one(spark, S.boolean(F.lit("no"))) is None
 
 
@@ -110,19 +113,60 @@ def test_linkage_equals_brute_force_and_partition_is_connected():
     assert sorted(partition.split([0, 1], centre, corners, {}, 35000)) == [[0], [1]]
 
 
-def test_greedy_suppression_equals_brute_force(spark):
+@pytest.mark.parametrize("tile", [None, 1000.0])
+def test_greedy_suppression_equals_brute_force(spark, tile):
     rng = random.Random(9)
-    rows = [(i, 1, rng.choice([0.5, rng.random()]), rng.uniform(0, 6000), rng.uniform(0, 6000)) for i in range(400)] + [(900, 1, None, 1.0, 1.0), (901, 1, 0.9, None, 1.0)]
-    df = spark.createDataFrame(rows, "id bigint, bucket int, score double, x double, y double")
-    got = {r.id: (r.suppressed_by, r.suppressed_m) for r in suppression.suppress(df, ["bucket"], "score", ["id"], "id").collect()}
-    kept, want = [], {}
-    for i, _, s, x, y in sorted(rows[:400], key=lambda r: (-r[2], r[0])):
-        near = min(((math.dist((x, y), k[1:]), n, k[0]) for n, k in enumerate(kept)), default=(9e9, 0, None))
-        want[i] = (near[2], near[0]) if near[0] < 400 else (None, None)
-        if near[0] >= 400:
-            kept.append((i, x, y))
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    rows = [(i, 1, rng.choice([0.5, rng.random()]), rng.uniform(-3000, 6000), rng.uniform(0, 6000)) for i in range(600)] + [(900, 1, None, 1.0, 1.0), (901, 1, 0.9, None, 1.0), (902, None, 0.9, 1.0, 1.0)]
+    # Scores that rise along a line: each point hangs on the next, over many tiles.
+    rows += [(1000 + i, 2, i / 100, 150.0 * i, 9.0) for i in range(100)] + [(2000, 3, 0.1, 0.0, 0.0), (2001, 3, 0.1, 0.0, 0.0), (2002, 3, 0.1, 400.0, 0.0)]
+    df = spark.createDataFrame(rows, "id bigint, bucket int, score double, x double, y double").withColumn("status", F.lit("clash"))
+    got = {r.id: (r.suppressed_by, r.suppressed_m, r.rank_before) for r in suppression.suppress(df, ["bucket"], "score", ["id"], "id", tile=tile).collect()}
+    want = {}
+    for bucket in (1, 2, 3):
+        kept = []
+        whole = [r for r in rows if r[1] == bucket and r[2] is not None and r[3] is not None]
+        for rank, (i, _, s, x, y) in enumerate(sorted(whole, key=lambda r: (-r[2], r[0])), 1):
+            near = min(((math.dist((x, y), k[1:]), n, k[0]) for n, k in enumerate(kept)), default=(9e9, 0, None))
+            want[i] = (near[2], near[0], rank) if near[0] < 400 else (None, None, rank)
+            if near[0] >= 400:
+                kept.append((i, x, y))
+    assert {k: (v[0], v[2]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()}
     assert all(v[1] == pytest.approx(want[k][1]) if v[1] is not None else want[k][1] is None for k, v in got.items())
+    assert suppression.suppress(df.where("id < 0"), ["bucket"], "score", ["id"], "id").count() == 0
+
+
+def test_places_in_an_order_with_groups_and_nulls(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, 1.0, rng.random()])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, g int, v double")
+    key = lambda r: (r[2] is None, r[2] or 0, r[0])
+    got = {r.id: r.n for r in ordering.numbered_rows(df, [F.col("v").asc_nulls_last(), F.col("id")], "n", ["g"]).collect()}
+    assert got == {r[0]: n for g in (1, 2, None) for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=key), 1)}
+    got = {r.id: r.n for r in ordering.numbered_rows(df, [F.col("v").asc_nulls_last(), F.col("id")], "n").collect()}
+    assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=key), 1)}
+    assert ordering.numbered_rows(df.where("id < 0"), [F.col("id")], "n", ["g"]).count() == 0
+
+
+def test_compositions_and_keys_are_attached(spark):
+    stands = spark.createDataFrame([(1, "old"), (2, None), (None, None)], "id bigint, composition string")
+    elements = spark.createDataFrame([(1, "MA", 40.0), (1, "KU", float("nan")), (1, "MA", None), (7, "MA", 1.0)], "id bigint, code string, share double")
+    got = {r.id: [tuple(e) for e in r.composition] for r in composition.attached(stands, elements, "id", ["code", "share"]).collect()}
+    assert got[2] == [] and got[None] == [] and [e[0] for e in got[1]] == ["KU", "MA", "MA"]
+    values = spark.createDataFrame([(1, 5)], "id bigint, block_id int")
+    once = components.with_key(stands, values, "id")
+    assert {r.id: r.block_id for r in components.with_key(once, values, "id").collect()} == {1: 5, 2: None, None: None}
+
+
+def test_stages_are_kept_and_read_by_the_next(spark, tmp_path):
+    from sparwood.plans import pipeline, scout
+
+    folder, out = "/root/testdata/sf0.001", str(tmp_path)
+    took = pipeline.run(spark, folder, out)
+    assert list(took) == list(pipeline.BUILD)
+    state = sorted(map(tuple, spark.read.parquet(f"{out}/state").select("region", "cross_count", "porcini_ranked_count").collect()))
+    assert state == sorted(map(tuple, scout.daily_state_rollup(spark, folder).select("region", "cross_count", "porcini_ranked_count").collect()))
+    # What an earlier run left is read, not built anew.
+    assert list(pipeline.run(spark, folder, out, skip=tuple(n for n in pipeline.BUILD if n != "remote"))) == ["remote"]
 
 
 def test_joins_of_two_stands(spark):

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from sparwood.functions import wkt
@@ -134,3 +135,54 @@ def test_lines_apart_from_points(spark):
     got = {r.k for r in spatial.lines_apart(segments, "k", points, 60.0).collect()}
     assert got == {k for k, *_ in seg} - {k for k, *s in seg for _, x, y in pts[:-1] if _distance(x, y, *s) <= 60}
     assert 0 < len(got) < 40 and spatial.lines_apart(segments, "k", points.where("oid < 0"), 60.0).count() == 40
+
+
+def test_union_equals_counting_points():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 20):
+        rings = [shapes.hull(rng.random((7, 2)) * 30 + rng.random(2) * 40) for _ in range(n)] + [np.array([[0, 0], [5, 5]])]
+        out = shapes.union([[r] for r in rings])
+        pts = rng.random((4000, 2)) * 70
+        inside = np.array([any(shapes.inside(p, r) for r in rings) for p in pts])
+        assert (inside == (sum(np.array([shapes.inside(p, r) for p in pts]).astype(int) for r in out) % 2 == 1)).mean() > 0.999
+        again = shapes.union([[r] for r in rings] + [out])
+        assert sum(map(shapes.signed_area, again)) == pytest.approx(sum(map(shapes.signed_area, out)), abs=1e-3)
+    box = lambda x, y, w=10.0: np.array([[x, y], [x + w, y], [x + w, y + w], [x, y + w]])
+    ring = shapes.union([[box(x, y)] for x in (0, 10, 20) for y in (0, 10, 20) if (x, y) != (10, 10)])
+    assert sorted(map(shapes.signed_area, ring)) == [-100.0, 900.0] and shapes.text(ring).count("((") == 1
+    assert shapes.text(shapes.union([[box(0, 0)], [box(10, 10)]])).count("((") == 2 and shapes.union([]) == []
+    assert sum(map(shapes.signed_area, shapes.buffer([box(0, 0, 100.0)], 10))) == pytest.approx(14000 + math.pi * 100, rel=1e-3)
+    line = shapes.buffer([np.array([[0.0, 0], [100, 0]])], 40, closed=False)
+    assert sum(map(shapes.signed_area, line)) == pytest.approx(8000 + math.pi * 1600, rel=2e-3)
+
+
+def test_dissolved_groups_and_buffered_lines(spark):
+    box = lambda x, y: [(x, y), (x + 100.0, y), (x + 100.0, y + 100), (x, y + 100)]
+    rows = [(1, box(0.0, 0.0), 1), (1, box(100.0, 50.0), 1), (1, box(40.0, 20.0), 1), (1, box(0.0, 0.0), 1), (2, box(0.0, 0.0), 1), (2, box(9e4, 0.0), 1), (3, None, 1), (4, [(0.0, 0.0)], 1), (None, box(0.0, 0.0), 1)]
+    df = spark.createDataFrame(rows, "g int, ring array<struct<x: double, y: double>>, cx int")
+    for size in (5000.0, 60.0):
+        got = {r.g: (r.area_m2, r.perimeter_m, r.outline.count("((")) for r in shapes.dissolve(df, "g", size).collect()}
+        assert got == {1: (pytest.approx(10000 + 10000 + 1200 + 1200), pytest.approx(2 * (200 + 150)), 1), 2: (pytest.approx(20000), pytest.approx(800), 2)}
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (100.0, 0.0)]), (2, [(5.0, 5.0)]), (3, []), (4, None)], "k int, line array<struct<x: double, y: double>>")
+    got = {r.k: r.area_m2 for r in shapes.buffered_lines(lines, "k").collect()}
+    assert got == {1: pytest.approx(8000 + math.pi * 1600, rel=2e-3), 2: pytest.approx(math.pi * 1600, rel=2e-3)}
+
+
+def test_contacts_of_parts_and_concave_stands(spark):
+    box = lambda x, y, w=100.0: np.array([[x, y], [x + w, y], [x + w, y + w], [x, y + w]])
+    bent = np.array([[0, 0], [100, 0], [100, 10], [10, 10], [10, 100], [0, 100]], float)
+    kind, length, gap = shapes.classify([bent], [box(15, 15, 50.0)])
+    xs = np.arange(-11, 110, 0.5) + 0.25
+    both = sum(int((_close(xs, y, bent) & _close(xs, y, box(15, 15, 50.0))).sum()) for y in xs) * 0.25
+    assert (kind, gap) == ("near_gap", 5.0) and length == pytest.approx(both / 10, rel=0.01)
+    # Contacts of parts add up: 12 m and 12 m are a contact, each alone is none.
+    a, b, c = box(0, 0, 12.0), box(0, 1000, 12.0), np.vstack([[12, 0], [20, 0], [20, 1100], [12, 1100]]).astype(float)
+    assert shapes.classify([a], [c]) is None and shapes.classify([a, b], [c]) == ("touching", pytest.approx(24.0), 0.0)
+    parts = lambda rings: [[(float(x), float(y)) for x, y in r] for r in rings]
+    df = spark.createDataFrame([(1, parts([a, b]), 0), (2, parts([c]), 0), (3, [], 0), (4, None, 0)], "id bigint, parts array<array<struct<x: double, y: double>>>, x0 int")
+    assert [(r.id_a, r.id_b, r.length_m) for r in shapes.adjacency(df).collect()] == [(1, 2, pytest.approx(24.0))]
+
+
+def _close(xs, y, ring):
+    s = shapes.segments(ring)
+    return np.array([shapes.inside(np.array([x, y]), ring) or shapes._point_to_segments(np.array([x, y]), s).min() <= 10 for x in xs])
