@@ -7,7 +7,8 @@ begins where repetition <= k and definition >= k, its number is a running count
 
 Shredding runs batch by batch in Arrow tasks, without any shuffle; a record is never split.
 
-Defined results: null, empty, blank and unreadable texts (also NaN and Infinity, which aren't JSON) give no rows. A text
+Defined results: null, empty, blank and unreadable texts (also NaN and Infinity, which aren't JSON, and texts nested some ten
+thousand levels deep, which the decoder can't read) give no rows. A text
 that is a JSON string counts as the text inside. A lone object counts as a list of one, null and other members that are
 no objects get no number. Rows of equal text, or equal key, each give their own rows.
 """
@@ -82,27 +83,25 @@ def objects(value) -> list[dict]:
     return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
 
-def _search(value, key: str, found: list, inherited: dict) -> bool:
-    """Collect the objects of every list named key, outside in; says whether there is any such list."""
-    seen = False
-    for o in objects(value):
+def _search(value, key: str) -> list[tuple[dict, dict]] | None:
+    """The objects of every list named key, outside in and in order, each with what the objects around it say; None if there is no such list."""
+    found, seen = [], False
+    todo = [(o, {}) for o in reversed(objects(value))]
+    while todo:
+        o, inherited = todo.pop()
         own = inherited | {k: v for k, v in o.items() if not isinstance(v, (dict, list))}
         if key in o:
             seen = True
             found += [(x, own) for x in objects(o[key])]
         else:
-            for v in o.values():
-                if isinstance(v, (dict, list)):
-                    seen = _search(v, key, found, own) or seen
-    return seen
+            todo += [(x, own) for v in reversed(o.values()) for x in reversed(objects(v))]
+    return found if seen else None
 
 
 def roots(value, key: str, text: str = "\\u") -> list[tuple[dict, dict]]:
     """Members of the first repeated ancestor with what the objects around them say: those of the lists named key, else the outermost objects."""
-    if key not in text and "\\u" not in text:
-        return [(o, {}) for o in objects(value)]
-    found: list = []
-    return found if _search(value, key, found, {}) else [(o, {}) for o in objects(value)]
+    found = _search(value, key) if key in text or "\\u" in text else None
+    return [(o, {}) for o in objects(value)] if found is None else found
 
 
 class Column:
