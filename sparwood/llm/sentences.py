@@ -4,9 +4,12 @@ What only looks like the end of a sentence is masked by private-use characters,
 of the text: points in numbers, addresses and initials, after abbreviations and ordinals, ellipses, and terminators
 inside quoted speech. Tags, quote marks at line starts and line ends become private-use characters as well, which say
 whether a break is hard (paragraph, quote depth, list item, signature) or soft (running text). The masked text is then
-split at zero-width places by one pattern with a branch per family of scripts, pieces are trimmed, and a window over the
+cut behind its terminators by one pattern with a branch per family of scripts, pieces are trimmed, and a window over the
 few small rows of a document turns lengths into positions. The text is restored by cutting it at these positions.
 
+Signatures are read from a line of --, ____ or ~~ on, if at most four lines with letters or digits follow it to the end of
+the text; longer endings are running text behind a rule. Closing marks are taken up however many there are.
+
 Defined results: null, empty and blank texts give no rows; pieces without letter or digit are no sentences; private-use
 characters of the text itself are read as unknown symbols. Repeated rows are numbered each on its own. Texts of any
 length are treated whole.
@@ -14,12 +17,14 @@ length are treated whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Placeholders, all in the private use area.
-HARD, MARK, BREAK, INLINE, WHOLE, POINT, GAP = "\ue000", "\ue001", "\ue003", "\ue004", "\ue006", "\ue010", "\ue011"
-_OURS = HARD + MARK + "\ue002" + BREAK + INLINE + "\ue005" + WHOLE + POINT + GAP
+HARD, MARK, BREAK, INLINE, WHOLE, POINT, GAP, CUT = "\ue000", "\ue001", "\ue003", "\ue004", "\ue006", "\ue010", "\ue011", "\ue012"
+_PRIVATE = "[\ue000-\ue012]"
 
 TERMINATORS = ".!?…。！？｡؟।॥"
 
@@ -38,6 +43,7 @@ MONTHS = (
     "Jh Jhd Jahrhundert Jahrhunderts Jahrhunderte"
 )
 
+_SPACES, _BULLETS, _FIGURES = " \t\n\x0b\f\r", "-*•‣·", "0123456789"
 _WORDLIKE = r"[\p{L}\p{N}\p{M}]"
 _SPACE = rf"[\s\u00a0{MARK}{BREAK}]"
 _QUOTES = r"\"”“»’"
@@ -67,19 +73,24 @@ def _masked_markup(t: Column) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
+def _first(c: Column, passed: str) -> Column:
+    """The first character after those that are passed over: what a line begins with is seen from it, mostly, without a pattern."""
+    return F.left(F.ltrim(c, F.lit(_SPACES + passed)), F.lit(1))
+
+
 def _list_mark(c: Column) -> Column:
-    return c.rlike(rf"^[\s{HARD}{INLINE}]*(?:[-*•‣·][ \t]+|\d{{1,3}}\)[ \t]+)\S")
+    return _first(c, HARD + INLINE).isin(*_BULLETS, *_FIGURES) & c.rlike(rf"^[\s{HARD}{INLINE}]*(?:[-*•‣·][ \t]+|\d{{1,3}}\)[ \t]+)\S")
 
 
 def _number_mark(c: Column) -> Column:
-    return c.rlike(rf"^[\s{HARD}{INLINE}]*\d{{1,3}}\.[ \t]+(?!\p{{Ll}}|(?:{_any(MONTHS)})\b)\S")
+    return _first(c, HARD + INLINE).isin(*_FIGURES) & c.rlike(rf"^[\s{HARD}{INLINE}]*\d{{1,3}}\.[ \t]+(?!\p{{Ll}}|(?:{_any(MONTHS)})\b)\S")
 
 
 def _lines(t: Column) -> Column:
     """array<struct<pre, depth, body, blank, mark, num, sig>> of the lines."""
 
     def line(s: Column) -> Column:
-        pre = F.regexp_extract(s, r"^[ \t]*(?:>[ \t]*)+", 0)
+        pre = F.when(F.ltrim(s, F.lit(" \t")).startswith(">"), F.regexp_extract(s, r"^[ \t]*(?:>[ \t]*)+", 0)).otherwise("")
         body = F.substr(s, F.length(pre) + 1)
         return F.struct(
             F.length(pre).alias("pre"), (F.length(pre) - F.length(F.replace(pre, F.lit(">"), F.lit("")))).alias("depth"), body.alias("body"),
@@ -127,21 +138,31 @@ def _quoted(b: Column) -> Column:
             "",
         )
 
-    b = pairs(b, "„", "“")
-    b = pairs(b, "“", "”")
-    b = pairs(b, "«「『", "»」』")
+    for opening, closing in (("„", "“"), ("“", "”"), ("«「『", "»」』")):
+        b = _bound(b, lambda t: F.when(t.rlike(rf"[{opening}]"), pairs(t, opening, closing)).otherwise(t))  # noqa: B023
+    return _bound(b, _straight)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _straight(b: Column) -> Column:
     straight = F.split(b, '"', -1)
-    return F.array_join(F.transform(straight, lambda s, i: F.when((i % 2 == 1) & (i < F.size(straight) - 1), _inside(s)).otherwise(s)), '"')
+    masked = F.array_join(F.transform(straight, lambda s, i: F.when((i % 2 == 1) & (i < F.size(straight) - 1), _inside(s)).otherwise(s)), '"')
+    return F.when(F.contains(b, F.lit('"')), masked).otherwise(b)
 
 
-def _block(b: Column) -> Column:
-    listed = b.rlike(rf"^[\s{HARD}{MARK}{BREAK}]*(?:[-*•‣·][ \t]+|\d{{1,3}}[.){POINT}][ \t]+)\S")
-    named = b.rlike(r":\s*$") & ~b.rlike(rf"[{TERMINATORS}]")
-    quote = b.rlike("[„“”«»「」『』\"]")
-    quoted = lambda t: F.when(quote, _quoted(t)).otherwise(t)
+def _block(b: Column, quotes: bool) -> Column:
+    """A block with what doesn't end a sentence masked; quotes: whether there may be quotation marks."""
+    mark = _first(b, HARD + MARK + BREAK).isin(*_BULLETS, *_FIGURES)
+    listed = mark & b.rlike(rf"^[\s{HARD}{MARK}{BREAK}]*(?:[-*•‣·][ \t]+|\d{{1,3}}[.){POINT}][ \t]+)\S")
+    named = F.rtrim(b, F.lit(_SPACES)).endswith(":") & ~b.rlike(rf"[{TERMINATORS}]")
+    quoted = (lambda t: F.when(b.rlike(_ANY_QUOTE), _quoted(t)).otherwise(t)) if quotes else (lambda t: t)
     # An item goes on over wrapped lines, but ends with a line that ends a sentence.
     item = F.length(F.regexp_extract(b, rf"(?s)^[\s{HARD}{MARK}{BREAK}]*\S+\s.*?(?:[{TERMINATORS}][{_QUOTES}'」』{_BRACKETS}]*|[\u0e00-\u0e7f])[ \t]*(?=\n(?![\s{MARK}]*(?:\p{{Ll}}|[\d๐-๙])))", 0))
-    first = F.when(item == 0, _whole(b)).otherwise(F.concat(_whole(F.substr(b, F.lit(1), item)), F.lit(HARD), quoted(F.substr(b, item + 2))))
+    first = _bound(item, lambda n: F.when(n == 0, _whole(b)).otherwise(F.concat(_whole(F.substr(b, F.lit(1), n)), F.lit(HARD), quoted(F.substr(b, n + 2)))))
     return F.when(b.startswith(WHOLE) | named, _whole(b)).when(listed, first).otherwise(quoted(b))
 
 
@@ -150,42 +171,47 @@ def _whole(b: Column) -> Column:
 
 
 _LEFT = rf"(?<!{_WORDLIKE})"
-_POINTS = [
-    r"\.(?=\.)|(?<=\.)\.|…",  # ellipses
-    rf"(?<={_WORDLIKE})\.(?={_WORDLIKE})",  # numbers, times, versions, addresses, inner points of abbreviations
-    r"(?<=[ऀ-ॿ฀-๿])\.",  # scripts that use the point for abbreviations only
-]
-# Points come first in these, and what follows before what precedes: a lookbehind is tried at few places only.
-_ABBREVIATIONS = [
-    rf"\.(?={_SPACE})(?<={_LEFT}(?iu:{_any(NEVER)})\.)",
-    rf"\.(?={_SPACE}+\d)(?<={_LEFT}(?iu:{_any(BEFORE_FIGURE)})\.)",
-    rf"\.(?={_SPACE}+{_LOWER})(?<={_LEFT}(?iu:{_any(BEFORE_SMALL)}|\p{{L}}{{1,2}}|\d+)\.)",
-    rf"\.(?={_SPACE}+(?:{_any(MONTHS)})(?!\p{{L}}))(?<={_LEFT}\d{{1,2}}\.)",
-    rf"\.(?={_SPACE}+[\p{{Lu}}\d])(?<={_LEFT}\p{{Lu}}\.)",  # initials
-]
-
-_CLOSED = rf"(?<=[.!?؟][{_BRACKETS}']{{0,8}}[{_QUOTES}][{_QUOTES}{_BRACKETS}]{{0,16}})"
-_BRANCHES = "|".join(
+# All masks of points begin with the point: a place without one is passed over at once. What follows is looked at before what precedes.
+_POINTS = "…|" + r"\." + "(?:" + "|".join(
+    [
+        r"(?=\.)|(?<=\.\.)",  # ellipses
+        rf"(?={_WORDLIKE})(?<={_WORDLIKE}\.)",  # numbers, times, versions, addresses, inner points of abbreviations
+        r"(?<=[ऀ-ॿ฀-๿]\.)",  # scripts that use the point for abbreviations only
+    ]
+) + ")"
+_ABBREVIATIONS = rf"\.(?={_SPACE})(?:" + "|".join(
+    [
+        rf"(?<={_LEFT}(?iu:{_any(NEVER)})\.)",
+        rf"(?={_SPACE}+\d)(?<={_LEFT}(?iu:{_any(BEFORE_FIGURE)})\.)",
+        rf"(?={_SPACE}+{_LOWER})(?:(?<={_LEFT}\p{{L}}{{1,2}}\.)|(?<=\d\.)(?<={_LEFT}\d+\.)|(?<={_LEFT}(?iu:{_any(BEFORE_SMALL)})\.))",
+        rf"(?={_SPACE}+(?:{_any(MONTHS)})(?!\p{{L}}))(?<={_LEFT}\d{{1,2}}\.)",
+        rf"(?={_SPACE}+[\p{{Lu}}\d])(?<={_LEFT}\p{{Lu}}\.)",  # initials
+    ]
+) + ")"
+
+_ON = rf"{_SPACE}+{INLINE}*+"
+# A cut comes behind what one of these takes up: a terminator of a family of scripts with all its closing marks, however many.
+# Spaced scripts; what may go on before a small letter is masked. After closing quotes only before a capital or opening mark.
+_SPACED = rf"[.!?؟][{_BRACKETS}']*+(?:(?={_ON}[^\s{MARK}{BREAK}{HARD}{WHOLE}{INLINE}])|[{_QUOTES}][{_QUOTES}{_BRACKETS}]*+(?={_ON}(?:[\p{{Lu}}\"“„«¿¡(]|\p{{Ll}}\p{{Lu}})))"
+_OTHERS = "|".join(
     [
-        rf"(?<=[{HARD}{WHOLE}])|(?=[{HARD}{WHOLE}])",
-        # Spaced scripts; what may go on before a small letter is masked. After closing quotes only before a capital or opening mark.
-        rf"(?={_SPACE}+{INLINE}*+[^\s{MARK}{BREAK}{HARD}{WHOLE}{INLINE}])(?<=[.!?؟{_BRACKETS}'])(?<=[.!?؟][{_BRACKETS}']{{0,24}})",
-        rf"(?={_SPACE}+{INLINE}*+(?:[\p{{Lu}}\"“„«¿¡(]|\p{{Ll}}\p{{Lu}}))(?<=[{_QUOTES}{_BRACKETS}]){_CLOSED}",
-        rf"(?={_SPACE})(?<=[।॥{_QUOTES}{_BRACKETS}])(?<=[।॥][{_QUOTES}{_BRACKETS}]{{0,16}})",
-        rf"(?<=[。！？｡{_BRACKETS}])(?![。！？｡!?…\"”»’」』{_BRACKETS}{POINT}])(?<=[。！？｡][{_BRACKETS}]{{0,16}})",
-        rf"(?={_SPACE}+[^\s\d๐-๙{MARK}{BREAK}{HARD}{WHOLE}])(?<=[฀-๏๚-๿][{_QUOTES}{_BRACKETS}]{{0,8}})",
+        rf"[।॥][{_QUOTES}{_BRACKETS}]*+(?={_SPACE})",
+        rf"[。！？｡][{_BRACKETS}]*+(?![。！？｡!?…\"”»’」』{_BRACKETS}{POINT}])",
+        rf"[฀-๏๚-๿][{_QUOTES}{_BRACKETS}]*+(?={_SPACE}+[^\s\d๐-๙{MARK}{BREAK}{HARD}{WHOLE}])",
     ]
 )
-# Most places fail one look at either neighbour, before any branch is tried.
-_SPLIT = rf"(?:(?=[\s\u00a0{MARK}{BREAK}{HARD}{WHOLE}])|(?<=[{HARD}{WHOLE}。！？｡{_BRACKETS}]))(?:{_BRANCHES})"
-_IGNORED = rf"[\s\u00a0\u200b\ufeff{HARD}{MARK}{BREAK}{WHOLE}{GAP}]"
+# What is looked for in whole texts is written in ranges: a range is one comparison a character, a list of characters one each.
+_ANY_QUOTE, _RARE = "[\"«»“-„「-』]", "[।-॥฀-๿。！-｡]"
+_IGNORED = " \t\n\x0b\f\r\u00a0\u200b\ufeff" + HARD + MARK + BREAK + WHOLE + GAP
 
 
 def masked(text: Column) -> dict[str, Column]:
     """The steps from text to masked text by column name, each built on the one before."""
     c = F.col
-    plain = F.translate(F.regexp_replace(text, r"\r(?!\n)", "\n"), "\r" + _OURS, " " + "�" * len(_OURS))
-    plain = F.regexp_replace(F.regexp_replace(plain, "&quot;", '"' + INLINE * 5), "&#39;", "'" + INLINE * 4)
+    plain = F.when(text.rlike(_PRIVATE), F.regexp_replace(text, _PRIVATE, "�")).otherwise(text)
+    plain = F.replace(F.replace(plain, F.lit("\r\n"), F.lit(" \n")), F.lit("\r"), F.lit("\n"))
+    for entity, mark in (("&quot;", '"'), ("&#39;", "'")):
+        plain = F.replace(plain, F.lit(entity), F.lit(mark + INLINE * (len(entity) - 1)))
     flags = F.transform(c("_lines"), lambda l: l["sig"])
     last = F.size(flags) - F.array_position(F.reverse(flags), True).cast("int")
     after = F.size(F.filter(F.slice(c("_lines"), last + 2, F.size(flags)), lambda l: ~l["blank"]))
@@ -197,11 +223,10 @@ def masked(text: Column) -> dict[str, Column]:
         "_sig": signature,
         "_joined": _joined(c("_lines"), c("_sig")),
     }
-    points = c("_joined")
-    for p in [*_POINTS, *_ABBREVIATIONS]:
-        points = F.regexp_replace(points, p, POINT)
-    blocks = F.split(c("_points"), rf"(?=[{HARD}{WHOLE}])", -1)
-    return steps | {"_points": points, "_masked": F.array_join(F.transform(blocks, _block), "")}
+    points = F.regexp_replace(F.regexp_replace(c("_joined"), _POINTS, POINT), _ABBREVIATIONS, POINT)
+    blocks = F.split(F.regexp_replace(c("_points"), rf"[{HARD}{WHOLE}]", rf"{CUT}$0"), CUT, -1)
+    each = lambda quotes: F.array_join(F.transform(blocks, lambda b: _block(b, quotes)), "")
+    return steps | {"_points": points, "_masked": F.when(c("_points").rlike(_ANY_QUOTE), each(True)).otherwise(each(False))}
 
 
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -209,10 +234,14 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     d = df.select(F.col(key), F.col(text).alias("_text")).where(F.length("_text") > 0).withColumn("_row", F.monotonically_increasing_id())
     for name, step in masked(F.col("_text")).items():
         d = d.withColumn(name, step)
-    d = d.select(key, "_row", F.posexplode_outer(F.split("_masked", _SPLIT, -1)).alias("_i", "_piece"))
-    lead = F.length(F.regexp_extract("_piece", rf"^{_IGNORED}*", 0))
-    kept = F.length(F.regexp_replace(F.regexp_replace("_piece", rf"^{_IGNORED}+", ""), rf"{_IGNORED}+$", ""))
-    d = d.select(key, "_row", "_i", F.length("_piece").alias("_n"), lead.alias("_lead"), kept.alias("_kept"), F.col("_piece").rlike(r"[\p{L}\p{N}]").alias("_real"))
+    # No place is behind terminators of two families, so these are cut one after the other, the rare ones where they are only.
+    d = d.withColumn("_masked", F.regexp_replace("_masked", _SPACED, rf"$0{CUT}"))
+    d = d.withColumn("_masked", F.when(F.col("_masked").rlike(_RARE), F.regexp_replace("_masked", _OTHERS, rf"$0{CUT}")).otherwise(F.col("_masked")))
+    cut = F.regexp_replace("_masked", rf"[{HARD}{WHOLE}]", rf"{CUT}$0{CUT}")
+    d = d.select(key, "_row", F.posexplode(F.split(cut, CUT, -1)).alias("_i", "_piece")).where(F.length("_piece") > 0)
+    shorter = F.length(F.ltrim("_piece", F.lit(_IGNORED)))
+    kept = F.length(F.btrim("_piece", F.lit(_IGNORED)))
+    d = d.select(key, "_row", "_i", F.length("_piece").alias("_n"), (F.length("_piece") - shorter).alias("_lead"), kept.alias("_kept"), F.col("_piece").rlike(r"[\p{L}\p{N}]").alias("_real"))
     by = Window.partitionBy("_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = (F.sum("_n").over(by) - F.col("_n") + F.col("_lead")).cast("int")
     d = d.select(key, F.sum(F.col("_real").cast("int")).over(by).cast("int").alias("sent_no"), start.alias("start_pos"), "_kept", "_real").where("_real")
