@@ -172,9 +172,9 @@ def _whole(b: Column) -> Column:
 
 _LEFT = rf"(?<!{_WORDLIKE})"
 # All masks of points begin with the point: a place without one is passed over at once. What follows is looked at before what precedes.
-_POINTS = "…|" + r"\." + "(?:" + "|".join(
+_POINTS = "[.…](?:" + "|".join(
     [
-        r"(?=\.)|(?<=\.\.)",  # ellipses
+        r"(?<=…)|(?=\.)|(?<=\.\.)",  # ellipses
         rf"(?={_WORDLIKE})(?<={_WORDLIKE}\.)",  # numbers, times, versions, addresses, inner points of abbreviations
         r"(?<=[ऀ-ॿ฀-๿]\.)",  # scripts that use the point for abbreviations only
     ]
@@ -237,7 +237,8 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     # No place is behind terminators of two families, so these are cut one after the other, the rare ones where they are only.
     d = d.withColumn("_masked", F.regexp_replace("_masked", _SPACED, rf"$0{CUT}"))
     d = d.withColumn("_masked", F.when(F.col("_masked").rlike(_RARE), F.regexp_replace("_masked", _OTHERS, rf"$0{CUT}")).otherwise(F.col("_masked")))
-    cut = F.regexp_replace("_masked", rf"[{HARD}{WHOLE}]", rf"{CUT}$0{CUT}")
+    # A hard break begins a piece, whose blanks it is trimmed with.
+    cut = F.regexp_replace("_masked", rf"[{HARD}{WHOLE}]", rf"{CUT}$0")
     d = d.select(key, "_row", F.posexplode(F.split(cut, CUT, -1)).alias("_i", "_piece")).where(F.length("_piece") > 0)
     shorter = F.length(F.ltrim("_piece", F.lit(_IGNORED)))
     kept = F.length(F.btrim("_piece", F.lit(_IGNORED)))
