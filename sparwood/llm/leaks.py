@@ -1,14 +1,16 @@
 """Evaluation passages inside training texts, by an FM-index per training shard (problem 7).
 
 Texts and items become sequences of words (single characters in scripts without spaces), without case, accents,
-punctuation, markup and quote marks. A task packs its documents into shards of bounded size, builds an FM-index over each
-shard's words, searches all phrases of the items backwards through it, locates the hits by sampled suffix positions and
-merges hits of one item into spans. An exact check then aligns the words around the hits: single words may be changed,
+punctuation, markup and quote marks. A task packs its documents into shards of bounded size and builds an FM-index over
+all words of each (:func:`index`). Shards know nothing of any items: written once, they can be searched for further ones
+(:func:`search`), which takes all phrases of the items backwards through each index, locates the hits by sampled suffix
+positions and merges hits of one item into spans. An exact check then aligns the words around the hits: single words may be changed,
 dropped or added between runs of words that agree. A document leaks an item if one aligned passage has at least 20 words,
 or 30 characters of unspaced scripts (a mix counts in proportion), on the item's side.
 
-Items are the query set: they are sent to all tasks in blocks whose size is bounded (``ITEM_BYTES``); further blocks are
-further passes over the corpus. Nothing is shuffled, and no document, item, hit or partner is dropped or capped.
+Items are the query set: executors turn them into blocks of bounded size (``ITEM_BYTES`` of prompts, or one longer prompt), which pass through the driver
+one at a time and are sent to all tasks, so many (``AT_A_TIME``) to a pass over the shards. Nothing is shuffled, and no document, item, hit
+or partner is dropped or capped.
 
 Defined results: null and empty texts and prompts leak nothing; equal documents and equal items each come out; a text of
 any length is indexed whole, alone in its shard if need be.
@@ -17,6 +19,7 @@ any length is indexed whole, alone in its shard if need be.
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,14 +27,16 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import drop_stored, stored
 from .fmindex import FMIndex
 
 WORDS, CHARACTERS = 20, 30
-#: Words per search phrase, symbols per shard, bytes of prompts per pass.
-PHRASE, SHARD, ITEM_BYTES = 4, 1 << 20, 32 << 20
+#: Words per search phrase, symbols per shard, bytes of prompts per block, blocks per pass.
+PHRASE, SHARD, ITEM_BYTES, AT_A_TIME = 4, 1 << 20, 1 << 20, 4
 #: Words that must agree between two single-word differences.
 BETWEEN = 2
 #: Phrases of a passage that are found at least, whole or over a difference, and words from the start of one to the next at
@@ -95,13 +100,15 @@ class Items:
             self.ids.append(item)
             self.seqs.append(np.array([self.symbol.setdefault(x, len(self.symbol) + 3) for x in w], np.int64))
             self.weights.append(np.array([1 / CHARACTERS if _IS_UNSPACED.match(x) else 1 / WORDS for x in w]))
-        grams = [(i, p) for i, s in enumerate(self.seqs) for p in range(len(s) - PHRASE + 1)]
-        self.item = np.array([g[0] for g in grams], np.int64)
-        self.place = np.array([g[1] for g in grams], np.int64)
-        rows_ = np.array([self.seqs[i][p : p + PHRASE] for i, p in grams], np.int64).reshape(len(grams), PHRASE)
-        self.phrases, which = np.unique(rows_, axis=0, return_inverse=True)
+        lengths = np.array([len(s) for s in self.seqs], np.int64)
+        flat = np.concatenate(self.seqs) if self.seqs else np.empty(0, np.int64)
+        item = np.repeat(np.arange(len(self.seqs)), lengths)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        first = np.flatnonzero(place + PHRASE <= lengths[item])
+        self.item, self.place = item[first].astype(np.int32), place[first].astype(np.int32)
+        self.phrases, which = np.unique(flat[first[:, None] + np.arange(PHRASE)].astype(np.int32), axis=0, return_inverse=True)
         which = which.reshape(-1)
-        self.order = np.argsort(which, kind="stable")
+        self.order = np.argsort(which, kind="stable").astype(np.int32)
         self.starts = np.searchsorted(which[self.order], np.arange(len(self.phrases) + 1))
         self._parted()
 
@@ -118,7 +125,7 @@ class Items:
                     parts.append(np.stack([c[:n] * len(self.pairs) + c[2 + gap :], np.full(n, i), np.arange(n), np.full(n, gap)], 1))
         rows = np.concatenate(parts)
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        self.parted = rows[:, 1:]
+        self.parted = rows[:, 1:].astype(np.int32)
         self.keys, first = np.unique(rows[:, 0], return_index=True)
         self.key_starts = np.r_[first, len(rows)]
 
@@ -164,7 +171,18 @@ _ONE = ((2, 2), (2, 1), (1, 2))
 _TWO = ((3, 3), (3, 2), (2, 3), (3, 1), (1, 3))
 
 
-def _aligned(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, float]]:
+class Places:
+    """What the alignment needs of an item: the places of each word, the weight before each place, whether it is unspaced."""
+
+    def __init__(self, item: np.ndarray, weight: np.ndarray):
+        self.of: dict[int, list[int]] = {}
+        for i, w in enumerate(item.tolist()):
+            self.of.setdefault(w, []).append(i)
+        self.before = np.concatenate([[0.0], np.cumsum(weight)]).tolist()
+        self.unspaced = (weight < 1 / WORDS - 1e-9).tolist()
+
+
+def _aligned(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, hits: np.ndarray, places: Places | None = None) -> list[tuple[int, int, float]]:
     """Passages (first and last document word, weight on the item's side) around hits (position, place) of one item.
 
     A cell (position, place) of equal words follows the cell before it on the diagonal, or one past a difference if
@@ -173,11 +191,8 @@ def _aligned(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, hits: np.nda
     """
     lo, hi = max(0, int(hits[:, 0].min()) - 2 * CHARACTERS), min(len(doc), int(hits[:, 0].max()) + 2 * CHARACTERS)
     near = {int(d) + k for d in np.unique(hits[:, 0] - hits[:, 1]) for k in range(-4, 5)}
-    of: dict[int, list[int]] = {}
-    for i, w in enumerate(item.tolist()):
-        of.setdefault(w, []).append(i)
-    unspaced = (weight < 1 / WORDS - 1e-9).tolist()
-    by_place = np.concatenate([[0.0], np.cumsum(weight)]).tolist()
+    places = places or Places(item, weight)
+    of, by_place, unspaced = places.of, places.before, places.unspaced
     # Words since the last difference, start in document and item; the third key says whether two differences fell together.
     cells: dict[tuple[int, int, int], tuple[int, int, int]] = {}
     out: dict[tuple[int, int], tuple[int, int, float]] = {}
@@ -228,18 +243,50 @@ def _dense(hits: np.ndarray) -> np.ndarray:
     return np.column_stack([hits, run])[good]
 
 
+def _long_enough(hits: np.ndarray, ends: np.ndarray, items: Items) -> Iterator[tuple[int, int]]:
+    """Runs of hits (bounds in ``ends``) around which an item has words enough for a passage.
+
+    A passage begins at its first hit or a word before it, and goes on behind the start of its last one for at most that hit's
+    six words, a difference of two and a last word.
+    """
+    if len(ends) < 2:
+        return
+    low, high = np.minimum.reduceat(hits[:, 3], ends[:-1]), np.maximum.reduceat(hits[:, 3], ends[:-1])
+    for u, v, a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), low.tolist(), high.tolist()):
+        if items.weights[hits[u, 1]][max(0, a - 1) : b + 9].sum() >= 1 - 1e-9:
+            yield u, v
+
+
+class Shard:
+    """Documents as symbols (1 parts them, 2 is no word) with their words by symbol, and the FM-index over them."""
+
+    def __init__(self, docs: list[np.ndarray], names: list[str]):
+        self.names = names
+        self.starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])]).astype(np.int64)
+        self.text = np.full(int(self.starts[-1]), 1, np.int32)
+        for d, s in zip(docs, self.starts):
+            self.text[s : s + len(d)] = d
+        self.index = FMIndex(self.text)
+
+
 def _search(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+    """(document, item, passages) of documents whose symbols are the items'."""
+    return search_shard(Shard(docs, list(items.symbol)), items)
+
+
+def search_shard(shard: Shard, items: Items) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
     """(document, item, passages) of one shard."""
-    starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
-    text = np.full(int(starts[-1]), 1, np.int64)  # 1 parts documents, 2 stands for words of no item
-    for d, s in zip(docs, starts):
-        text[s : s + len(d)] = d
-    # Phrases hold words of items only: of each run of other words, and of runs too short for a phrase, one symbol stays.
-    run = np.cumsum(np.r_[0, np.diff((text > 2).astype(np.int8)) != 0])
-    kept = (text > 2) & (np.bincount(run)[run] >= PHRASE)
-    at = np.flatnonzero(kept | np.r_[True, kept[:-1]])
-    index = FMIndex(np.where(kept, text, 1)[at])
-    whole = [(phrase, at[position]) for phrase, position in index.find(items.phrases)]
+    starts = shard.starts
+    # The shard's symbols in the items' terms (2: a word of no item) and back (0, which no text has: a word not in the shard).
+    known = np.array([0, 1, 2, *(items.symbol.get(w, 2) for w in shard.names)], np.int64)
+    back = np.zeros(items.base, np.int64)
+    back[known[3:]] = np.arange(3, len(known))
+    back[2] = 0
+    text = known[shard.text]
+    docs = [text[a : b - 1] for a, b in zip(starts[:-1], starts[1:])]
+    phrases = back[items.phrases]
+    there = np.flatnonzero((phrases > 0).all(1))
+    whole = [(there[phrase], position) for phrase, position in shard.index.find(phrases[there])]
     keys = items.parted_in(text)
     # Positions of any phrase first: where too few are near each other, no item has a passage.
     some = np.zeros(len(text), bool)
@@ -251,6 +298,7 @@ def _search(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, li
     run = _runs(np.searchsorted(starts, where, side="right"), where)
     some[where] = np.bincount(run, minlength=1)[run] >= FEW
     cuts = sorted({0, *np.searchsorted(starts, np.arange(_AT_ONCE, len(text), _AT_ONCE)).tolist(), len(docs)})
+    known_places = lru_cache(None)(lambda item: Places(items.seqs[item], items.weights[item]))
     found: dict[tuple[int, int], list] = {}
     for a, b in zip(cuts[:-1], cuts[1:]):
         lo, hi = int(starts[a]), int(starts[b])
@@ -265,63 +313,72 @@ def _search(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, li
         doc = np.searchsorted(starts, position, side="right") - 1
         hits = _dense(np.stack([doc, item, position - starts[doc], place], 1))
         ends = np.flatnonzero(np.r_[True, hits[1:, 4] != hits[:-1, 4], True])[: len(hits) + 1]
-        for u, v in zip(ends[:-1], ends[1:]):
+        for u, v in _long_enough(hits, ends, items):
             doc, item = int(hits[u, 0]), int(hits[u, 1])
-            if passages := _aligned(docs[doc], items.seqs[item], items.weights[item], hits[u:v, 2:4]):
+            if passages := _aligned(docs[doc], items.seqs[item], items.weights[item], hits[u:v, 2:4], known_places(item)):
                 found.setdefault((doc, item), []).extend(passages)
     for (doc, item), passages in found.items():
         yield doc, item, passages
 
 
-def _passes(df: DataFrame, key: str, text: str, blocks: list[Items], spans: bool) -> DataFrame:
+def index(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The corpus as shards: keys (those of the documents, in order), shard (documents, words, places and FM-index, pickled).
+
+    Documents with too few words for a phrase are left out, as nothing can be found in them.
+    """
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id bigint" + (", start_pos int, end_pos int" if spans else "")
-    spark = df.sparkSession
 
-    def one(items: Items) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol: dict[str, int] = {}
+        keys, docs, places, size, key_type = [], [], [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            blob = pickle.dumps((Shard(docs, list(symbol)), places), protocol=5)
+            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(key_type)), pa.array([blob], pa.binary())], ["keys", "shard"])
+
+        for b in batches:
+            key_type = b.schema.field(0).type
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w, at = words(t) if t else ([], [])
+                if len(w) < PHRASE:
+                    continue
+                if docs and size + len(w) > SHARD:
+                    yield flush()
+                    symbol = {}
+                    keys, docs, places, size = [], [], [], 0
+                keys.append(k)
+                docs.append(np.fromiter((symbol.setdefault(x, len(symbol) + 3) for x in w), np.int32, len(w)))
+                places.append(np.array(at, np.int32))
+                size += len(w) + 1
+        if docs:
+            yield flush()
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"keys array<{kind}>, shard binary")
+
+
+def search(shards: DataFrame, items: DataFrame, item_key: str, prompt: str, key: str, spans: bool = False) -> DataFrame:
+    """key, item_id, and with spans start_pos, end_pos: what of the items the documents of an :func:`index` hold."""
+    kind = shards.schema["keys"].dataType.elementType.simpleString()
+    schema = f"`{key}` {kind}, item_id bigint" + (", start_pos int, end_pos int" if spans else "")
 
+    def one(blocks: list[Broadcast]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            get = items.symbol.get
-            keys, docs, places, size = [], [], [], 0
-
-            def flush() -> pa.RecordBatch:
-                rows = []
-                for doc, item, found in _search(docs, items):
-                    if not spans:
-                        rows.append((keys[doc], items.ids[item]))
-                        continue
-                    p = places[doc]
-                    rows += [(keys[doc], items.ids[item], int(p[a][0]), int(p[b][1])) for a, b in _merged(found)]
-                columns = list(zip(*rows)) or [[] for _ in range(4 if spans else 2)]
-                names = [key, "item_id", "start_pos", "end_pos"][: len(columns)]
-                types = [key_type, pa.int64(), pa.int32(), pa.int32()]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-            key_type = pa.int64()
             for b in batches:
-                key_type = b.schema.field(0).type
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    w, at = words(t) if t else ([], [])
-                    if len(w) < PHRASE:
-                        continue
-                    d = np.fromiter((get(x, 2) for x in w), np.int64, len(w))
-                    if (d != 2).sum() < PHRASE:
-                        continue
-                    if docs and size + len(d) > SHARD:
-                        yield flush()
-                        keys, docs, places, size = [], [], [], 0
-                    keys.append(k), docs.append(d)
-                    if spans:
-                        places.append(np.array(at, np.int32))
-                    size += len(d) + 1
-            if docs:
-                yield flush()
-
-        return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
-
-    return reduce(DataFrame.unionAll, [one(b) for b in blocks])
+                key_type = b.schema.field(0).type.value_type
+                for row in range(b.num_rows):
+                    keys, (shard, places) = b.column(0)[row].values, pickle.loads(b.column(1)[row].as_py())
+                    for block in blocks:
+                        items = pickle.loads(block.value)
+                        found = [(doc, items.ids[item], p) for doc, item, passages in search_shard(shard, items) for p in (_merged(passages) if spans else [None])]
+                        columns = [keys.take(pa.array([f[0] for f in found], pa.int64())).cast(key_type), pa.array([f[1] for f in found], pa.int64())]
+                        if spans:
+                            columns += [pa.array([int(places[d][p[k]][k]) for d, _, p in found], pa.int32()) for k in (0, 1)]
+                        yield pa.RecordBatch.from_arrays(columns, [key, "item_id", "start_pos", "end_pos"][: len(columns)])
+
+        return shards.mapInArrow(run, schema)
+
+    blocks = _blocks(items, item_key, prompt)
+    return reduce(DataFrame.unionAll, [one(blocks[k : k + AT_A_TIME]) for k in range(0, max(1, len(blocks)), AT_A_TIME)])
 
 
 def _merged(found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
@@ -334,24 +391,46 @@ def _merged(found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(items: DataFrame, key: str, prompt: str) -> list[Items]:
-    """The items in blocks of bounded size; each is fetched alone."""
-    i = items.select(key, prompt).where(F.col(prompt).isNotNull() & (F.length(prompt) > 0) & F.col(key).isNotNull())
+def _blocks(items: DataFrame, key: str, prompt: str) -> list[Broadcast]:
+    """The items as pickled blocks of bounded size, sent to the executors. Null and empty prompts and keys are left out."""
+    spark = items.sparkSession
+    i = items.select(F.col(key).cast("long"), prompt).where(F.col(prompt).isNotNull() & (F.length(prompt) > 0) & F.col(key).isNotNull())
     n = int((i.agg(F.sum(F.octet_length(prompt))).first()[0] or 0) // ITEM_BYTES) + 1
-    part = F.pmod(F.xxhash64(key), F.lit(n))
-    return [Items([(r[0], r[1]) for r in i.where(part == k).collect()]) for k in range(n)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        full = lambda: pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Items(rows), protocol=5)], pa.binary())], ["block"])
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if rows and size + len(t.encode()) > ITEM_BYTES:
+                    yield full()
+                    rows, size = [], 0
+                rows.append((k, t))
+                size += len(t.encode())
+        if rows:
+            yield full()
+
+    packed = stored(i.repartition(n).mapInArrow(pack, "block binary"), "item_blocks")
+    out = [spark.sparkContext.broadcast(bytes(r.block)) for r in packed.toLocalIterator()]
+    drop_stored(packed)
+    return out
+
+
+def _shards(df: DataFrame, key: str, text: str, items: DataFrame, prompt: str) -> DataFrame:
+    """The corpus as shards; written, if there will be more than one pass over them."""
+    shards = index(df, key, text)
+    size = items.agg(F.sum(F.octet_length(prompt))).first()[0] or 0
+    return stored(shards, "shards") if size > AT_A_TIME * ITEM_BYTES // 2 else shards
 
 
 def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, prompt: str) -> DataFrame:
     """key, item_id: every document with every item of which it holds a passage."""
-    return _passes(df, key, text, _blocks(items, item_key, prompt), spans=False)
+    return search(_shards(df, key, text, items, prompt), items, item_key, prompt, key)
 
 
 def removal_spans(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, prompt: str) -> DataFrame:
     """key, start_pos, end_pos, n_items: what to cut from each document, overlapping passages of all items merged."""
-    from pyspark.sql import Window
-
-    s = _passes(df, key, text, _blocks(items, item_key, prompt), spans=True)
+    s = search(_shards(df, key, text, items, prompt), items, item_key, prompt, key, spans=True)
     by = Window.partitionBy(key).orderBy("start_pos", "end_pos", "item_id")
     reach = F.max("end_pos").over(by.rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("new", F.coalesce((F.col("start_pos") > reach).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(by))

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,9 +193,11 @@ class Encoded:
 def encoded(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """key, ids: array<int> of every row, in one pass without shuffle; rows of equal key each come out."""
     path = path or vocabulary_path()
+    # The file goes to the executors with the job, as they may not have it in the same place.
+    df.sparkSession.sparkContext.addFile(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(SparkFiles.get(os.path.basename(path)))
         for b in batches:
             ids = pa.array([v.encode(t) if t else [] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [key, "ids"])
@@ -210,5 +213,5 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, tokens and characters by source and language, as a check on the mix of a corpus."""
     d = spark.read.parquet(f"{folder}/documents.parquet")
-    n = p6_ids(spark, folder).select("doc_id", F.size("ids").alias("n"))
-    return d.join(n, "doc_id").groupBy("source", "lang").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("tokens"), F.sum(F.length("text")).cast("long").alias("chars"))
+    of = encoded(d.select(F.struct("source", "lang", F.length("text").alias("n")).alias("doc"), "text"), "doc", "text")
+    return of.groupBy("doc.source", "doc.lang").agg(F.count("*").alias("docs"), F.sum(F.size("ids")).cast("long").alias("tokens"), F.sum("doc.n").cast("long").alias("chars"))

@@ -1,8 +1,8 @@
 """The N best rows of every group by bounded heaps that are built before the shuffle and merged after it (problem 3).
 
 Every task keeps at most N rows of a group while it reads its partition: rows arrive in Arrow batches, a row that can't
-beat the root of its group's full heap is dropped unseen by the sort, the others are merged in. A heap is kept as a
-sorted run, which is what a merge needs. When a task holds too many groups it emits its heaps and starts anew, as partial
+beat the root of its group's full heap is dropped before the sort (by a hash join with the roots), the others are merged in.
+A heap is kept as a sorted run, which is what a merge needs; its root is its last row. When a task holds too many groups it emits its heaps and starts anew, as partial
 aggregation does; that is right because merging is associative. So a group of a third of all rows sends N rows per task.
 With very many tasks the heaps of a group are merged in salted parts first. The last merge is a window over these rows.
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a task holds in heaps before it emits them.
 HELD_ROWS = 500_000
+#: Rows, at least, that are merged into the heaps at once.
+WAITING_ROWS = 1 << 16
 #: Partial heaps of one group beyond which they are merged in salted parts first.
 FAN_IN = 512
 
@@ -39,6 +41,19 @@ def _bounded(rows: pa.Table, groups: list[str], score: str, ties: list[str], n:
     return rows.filter(pa.array(np.arange(len(new)) - first < n))
 
 
+def _roots(held: pa.Table, groups: list[str], score: str, n: int) -> pa.Table:
+    """The groups whose heap is full, with the score of its root, that is of its last row."""
+    size = held.group_by(groups).aggregate([(score, "count"), (score, "min")])
+    full = size.filter(pc.equal(size.column(f"{score}_count"), n))
+    return full.select([*groups, f"{score}_min"]).rename_columns([*groups, "_root"])
+
+
+def _promising(rows: pa.Table, roots: pa.Table, groups: list[str], score: str) -> pa.Table:
+    """The rows that can get into their group's heap: those of groups not full yet, and those with at least the root's score."""
+    met = rows.join(roots, groups, join_type="left outer")
+    return met.filter(pc.or_kleene(pc.is_null(met.column("_root")), pc.greater_equal(met.column(score), met.column("_root")))).select(rows.column_names)
+
+
 def _heaps(groups: list[str], score: str, ties: list[str], n: int, held_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -47,14 +62,16 @@ def _heaps(groups: list[str], score: str, ties: list[str], n: int, held_rows: in
 
         def merge() -> pa.Table:
             fresh = pa.Table.from_batches(waiting)
-            return _bounded(fresh if held is None else pa.concat_tables([held, fresh]), groups, score, ties, n)
+            if held is None:
+                return _bounded(fresh, groups, score, ties, n)
+            return _bounded(pa.concat_tables([held, _promising(fresh, _roots(held, groups, score, n), groups, score)]), groups, score, ties, n)
 
         for b in batches:
             if not b.num_rows:
                 continue
             waiting.append(b)
             rows += b.num_rows
-            if rows >= max(1 << 16, held.num_rows if held is not None else 0):
+            if rows >= max(WAITING_ROWS, held.num_rows if held is not None else 0):
                 held, waiting, rows = merge(), [], 0
                 if held.num_rows >= held_rows:
                     yield from held.to_batches(max_chunksize=10_000)

@@ -10,13 +10,16 @@ def _rows(rng, n):
     return [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["a", "b", None]), rng.choice([None, float("nan"), 0.5, 0.5, rng.random()]), rng.choice([None, 1, 2, 3])) for i in range(n)]
 
 
-@pytest.mark.parametrize("held,fan_in", [(500_000, 512), (10, 512), (500_000, 1)])
-def test_top_n_equals_brute_force(spark, monkeypatch, held, fan_in):
+@pytest.mark.parametrize("held,fan_in,waiting", [(500_000, 512, 1 << 16), (10, 512, 1), (500_000, 1, 1), (500_000, 512, 1)])
+def test_top_n_equals_brute_force(spark, monkeypatch, held, fan_in, waiting):
+    monkeypatch.setattr(topn, "WAITING_ROWS", waiting)
     monkeypatch.setattr(topn, "HELD_ROWS", held)
     monkeypatch.setattr(topn, "FAN_IN", fan_in)
     rows = _rows(random.Random(1), 3000)
     df = spark.createDataFrame(rows, "id bigint, g int, h string, s double, t int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     got = {(r.id, r.place) for r in topn.top_n(df, ["g", "h"], "s", ["t", "id"], 7).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = set()
     for key in {(r[1], r[2]) for r in rows if r[1] is not None and r[2] is not None}:
         own = [r for r in rows if (r[1], r[2]) == key and r[3] is not None and r[3] == r[3]]
