@@ -5,9 +5,9 @@ and one of the keys that existed all through the month, and reference AND NOT pa
 are kept compressed, as the non-zero 64-bit words only, and built by bit_or with partial aggregation. Surviving bits are
 decoded and their references checked to the microsecond against the parents' times.
 
-Ranges are hashes of the key, so that no distribution of keys makes one large; a hot key is reduced to one bit per month
-before any shuffle. In the exact check a hot key's rows are split by day, with a running maximum inside the day and a
-prefix maximum over the days before, so that no task gets all rows of a key.
+Ranges are hashes of the key, as many as the number of keys asks for, so that no distribution of keys makes one large; a
+hot key is reduced to one bit per month before any shuffle. In the exact check parents' times are reduced to islands per day
+and to a prefix maximum over days; references meet these in joins on key and day and are never gathered.
 
 Defined results: null keys refer to nothing. A reference without time meets no parent and has a null month. A parent row
 without arrival never existed, but its id isn't missing. Repeated rows are reported each.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import stored, table
 
+#: Keys per range of the dictionary, about.
+RANGE_KEYS = 1 << 18
 _FOREVER = "timestamp_ntz'9999-12-31 00:00:00'"
 
 
@@ -61,7 +63,7 @@ def decode(words: DataFrame) -> DataFrame:
     return words.select("rng", "month", F.explode(one).alias("b"), "word").select("rng", "month", (F.col("word") * 64 + F.col("b")).cast("int").alias("code"))
 
 
-def orphans(refs: DataFrame, parents: DataFrame, ranges: int = 256) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
     """Unmet references with a reason: the columns ref_table, ref_column, ref_no, id, t of refs and reason.
 
     parents: id, since, until (null: for ever). A reference is met by a parent row of its id with since <= t < until;
@@ -72,7 +74,9 @@ def orphans(refs: DataFrame, parents: DataFrame, ranges: int = 256) -> DataFrame
     spans = parents.where(F.col("id").isNotNull()).select("id", ntz("since").alias("since"), F.coalesce(ntz("until"), F.expr(_FOREVER)).alias("until"))
     spans = spans.groupBy("id", "since").agg(F.max("until").alias("until"))
     asked = stored(refs.groupBy("id", _month(F.col("t")).alias("month")).count(), "asked")
-    months = asked.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
+    months = asked.agg(F.min("month").alias("lo"), F.max("month").alias("hi"), F.approx_count_distinct("id").alias("n")).first()
+    keys = months["n"] + spans.agg(F.approx_count_distinct("id")).first()[0]
+    ranges = ranges or max(256, keys // RANGE_KEYS)
     coded = stored(dictionary(asked.select("id").unionByName(spans.select("id")), ranges), "dictionary")
     lo, hi = (months["lo"], months["hi"]) if months["lo"] is not None else (0, -1)
     # Whole months of life: from the month after the arrival to the one before the removal. Boundary months go on to the exact check.
@@ -93,27 +97,27 @@ def _exact(refs: DataFrame, spans: DataFrame, doubtful: DataFrame) -> DataFrame:
     r = refs.withColumn("month", _month(F.col("t"))).alias("r")
     met = (F.col("r.id") == F.col("d.id")) & F.col("r.month").eqNullSafe(F.col("d.month"))
     r = r.join(doubtful.alias("d"), met, "left_semi").drop("month")
-    day = lambda c: F.to_date(F.col(c))
+    r = r.withColumn("day", F.to_date("t"))
     known = spans.groupBy("id").agg(F.min("since").alias("earliest"), F.lit(True).alias("known"))
-    # The longest-lived span of each day, and by a prefix maximum of all days before.
-    daily = spans.where(F.col("since").isNotNull()).groupBy("id", day("since").alias("day")).agg(F.max("until").alias("reach"))
-    days = daily.unionByName(r.where(F.col("t").isNotNull()).select("id", day("t").alias("day")).distinct().withColumn("reach", F.lit(None).cast("timestamp_ntz")))
-    days = days.groupBy("id", "day").agg(F.max("reach").alias("reach"))
+    spans = spans.where(F.col("since").isNotNull()).withColumn("day", F.to_date("since"))
+    # The longest reach of all days before, by a prefix maximum over the days of an id.
+    daily = spans.groupBy("id", "day").agg(F.max("until").alias("reach"))
+    asked = r.where(F.col("t").isNotNull()).select("id", "day").distinct().withColumn("reach", F.lit(None).cast("timestamp_ntz"))
+    days = daily.unionByName(asked).groupBy("id", "day").agg(F.max("reach").alias("reach"))
     earlier = F.max("reach").over(Window.partitionBy("id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
     days = days.select("id", "day", earlier.alias("earlier"))
-    names = ["ref_table", "ref_column", "ref_no"]
-    events = r.select(*names, "id", "t", day("t").alias("day"), F.lit(1).alias("is_ref"), F.lit(None).cast("timestamp_ntz").alias("until"))
-    marks = spans.where(F.col("since").isNotNull()).select(
-        *[F.lit(None).cast(refs.schema[n].dataType).alias(n) for n in names], "id", F.col("since").alias("t"), day("since").alias("day"), F.lit(0).alias("is_ref"), "until"
+    # The spans that begin on a day, merged to islands: what begins within the reach of those before belongs to them.
+    by = Window.partitionBy("id", "day").orderBy("since")
+    reach = F.max("until").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("new", F.coalesce((F.col("since") > reach).cast("int"), F.lit(1)))
+    islands = islands.withColumn("island", F.sum("new").over(by)).groupBy("id", "day", "island").agg(F.min("since").alias("since"), F.max("until").alias("until"))
+    # References are never sorted or gathered by key: they meet a day's reach and islands in joins, whose hot keys AQE splits.
+    held = r.alias("r").join(
+        islands.alias("i"), (F.col("r.id") == F.col("i.id")) & (F.col("r.day") == F.col("i.day")) & (F.col("r.t") >= F.col("i.since")) & (F.col("r.t") < F.col("i.until")), "left_anti"
     )
-    marks = marks.join(r.select("id", day("t").alias("day")).distinct(), ["id", "day"], "left_semi").select(events.columns)
-    running = F.max("until").over(Window.partitionBy("id", "day").orderBy("t", "is_ref").rowsBetween(Window.unboundedPreceding, 0))
-    events = events.unionByName(marks).withColumn("today", running).where("is_ref = 1")
-    joined = events.join(days, ["id", "day"], "left").join(known, "id", "left")
-    reach = F.greatest("today", "earlier")
-    unmet = joined.where(F.col("t").isNull() | ~F.coalesce(reach > F.col("t"), F.lit(False)))
+    unmet = held.join(days, ["id", "day"], "left").where(F.col("t").isNull() | ~F.coalesce(F.col("earlier") > F.col("t"), F.lit(False))).join(known, "id", "left")
     reason = F.when(F.col("known").isNull(), "missing").when(F.col("earliest") > F.col("t"), "late").otherwise("deleted")
-    return unmet.select(*names, "id", "t", reason.alias("reason"))
+    return unmet.select("ref_table", "ref_column", "ref_no", "id", "t", reason.alias("reason"))
 
 
 def p5_orphans(spark: SparkSession, folder: str) -> DataFrame:
