@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import priors as P
+from ..functions import scoring as S
 
 
 def read_slots(spark: SparkSession, folder: str, files_a_trigger: int = 100) -> DataFrame:
@@ -39,24 +41,66 @@ def sliding_day(slots: DataFrame, late: str = "14 days") -> DataFrame:
     return w.agg((F.coalesce(F.sum("rate"), F.lit(0.0)) * P.SLOT_HOURS).alias("day_mm")).select("px", F.col("w.start").alias("ts"), "day_mm")
 
 
-_STATE = "ts array<double>, mm array<double>, max_day double, total double, last_wet double"
-
-
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Running totals of a pixel: the day's slots are kept, older ones leave the state (96 of them at a quarter of an hour)."""
-    ts, mm, top, total, wet = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], 0.0, 0.0, None)
-    rows = pd.concat(list(parts)).sort_values("ts")
-    for t, rate in zip(rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, rows["rate"]):
-        rain = 0.0 if pd.isna(rate) else float(rate) * P.SLOT_HOURS
-        ts.append(float(t)), mm.append(rain)
-        while ts[0] < t - 86400:
-            ts.pop(0), mm.pop(0)
-        top, total = max(top, sum(mm)), total + rain
-        wet = float(t) if rain > 0 else wet
-    state.update((ts, mm, top, total, wet))
-    yield pd.DataFrame({"px": [key[0]], "max_24h_mm": [top], "total_mm": [total], "last_wet": pd.to_datetime([wet], unit="s")})
-
-
-def running(slots: DataFrame) -> DataFrame:
-    """Largest 24 h sum, total and last wet slot per pixel, updated with every batch; slots come in order of time."""
-    return slots.groupBy("px").applyInPandasWithState(_fold, "px bigint, max_24h_mm double, total_mm double, last_wet timestamp", _STATE, "update", GroupStateTimeout.NoTimeout)
+_NAMES = ["rain_3d_mm", "rain_7d_mm", "rain_14d_mm", "coverage_3d", "coverage_7d", "coverage_14d", "wet_hours_72h", "hours_since_any_rain",
+          "hours_since_significant_rain", "last_significant_mm", "hours_since_strong_rain", "last_strong_mm", "max_24h_rain_14d"]
+_STATE, _DAY = "ts array<bigint>, rate array<double>", 86_400_000_000
+
+
+def features(ts: np.ndarray, rate: np.ndarray, now: int, expected: dict[int, int]) -> list[float | None]:
+    """What the batch's features say of one pixel's slots (microseconds in order, NaN: invalid) of the 14 days before now."""
+    mm = np.where(np.isnan(rate), 0.0, rate) * P.SLOT_HOURS
+    since = {d: ts >= now - d * _DAY for d in expected}
+    hours = lambda t: (now - t) / (_DAY / 24)
+    out: list = [float(mm[w].sum()) for w in since.values()] + [min(1.0, float((~np.isnan(rate[w])).sum() / expected[d])) for d, w in since.items()]
+    wet = np.flatnonzero(rate > 0)
+    out += [float((since[3][wet]).sum() * P.SLOT_HOURS), hours(int(ts[wet[-1]])) if len(wet) else None]
+    first = np.r_[True, np.diff(ts[wet]) > P.DRY_GAP_HOURS * _DAY / 24][: len(wet)]
+    event = np.cumsum(first) - 1
+    total = np.bincount(event, rate[wet], minlength=0) * P.SLOT_HOURS if len(wet) else np.empty(0)
+    ended = ts[wet][np.r_[first[1:], True][: len(wet)]]
+    for least in (P.SIGNIFICANT_MM, P.STRONG_MM):
+        big = np.flatnonzero(total >= least)
+        out += [hours(int(ended[big[-1]])), float(total[big[-1]])] if len(big) else [None, 0.0]
+    so_far = np.r_[0.0, np.cumsum(mm)]
+    return out + [max(0.0, float((so_far[1:] - so_far[np.searchsorted(ts, ts - _DAY)]).max(initial=0.0)))]
+
+
+def running(slots: DataFrame, expected: dict[int, int] | None = None, days: int = 14) -> DataFrame:
+    """All rain features of a pixel, anew with every batch that brings slots of it: px, as_of (the newest slot's end) and the features.
+
+    The state is the pixel's slots of the last days, whatever the order they came in: a late one takes its place, one that comes
+    again replaces the first, so results are those of the batch over the same slots. What comes later than the days behind the
+    newest slot of all is dropped, as it lies outside the window by then. Slots older than the days leave the state,
+    and a pixel of which nothing newer has come when the watermark is days past its newest slot leaves it whole.
+    """
+    expected = expected or P.SLOTS
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts))
+        new = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        ts, rate = (np.asarray(x, t) for x, t in zip(state.get, (np.int64, float))) if state.exists else (np.empty(0, np.int64), np.empty(0))
+        ts, rate = np.r_[ts, new], np.r_[rate, rows["rate"].to_numpy(float)]
+        order = np.argsort(ts, kind="stable")
+        ts, rate = ts[order], rate[order]
+        last = np.r_[ts[1:] != ts[:-1], True]
+        ts, rate = ts[last], rate[last]
+        now = int(ts[-1]) + int(P.SLOT_HOURS * _DAY / 24)
+        kept = ts >= now - days * _DAY
+        ts, rate = ts[kept], rate[kept]
+        state.update((ts.tolist(), rate.tolist()))
+        state.setTimeoutTimestamp(max(int(ts[-1]) // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([[key[0], pd.Timestamp(now, unit="us"), *features(ts, rate, now, expected)]], columns=["px", "as_of", *_NAMES])
+
+    schema = "px bigint, as_of timestamp, " + ", ".join(f"{n} double" for n in _NAMES)
+    return slots.withWatermark("ts", f"{days} days").groupBy("px").applyInPandasWithState(fold, schema, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def gated(f: DataFrame, met_age_hours: Column, met_coverage: Column) -> DataFrame:
+    """Running features with the gates of the batch: what a window covers too little is null, and quality says which are."""
+    cov = {d: F.col(f"coverage_{d}d") for d in (3, 7, 14)}
+    of = lambda n: 3 if n in ("rain_3d_mm", "wet_hours_72h") else 7 if n == "rain_7d_mm" else 14
+    values = {n: S.if_covered(F.col(n), cov[of(n)]) for n in _NAMES if not n.startswith("coverage")}
+    return f.withColumns({"quality": S.data_quality(cov, met_age_hours, met_coverage), **values})

@@ -1,23 +1,43 @@
 import json
+import random
+import re
 import threading
-from datetime import datetime
+from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparwood.functions import crs
+from sparwood.operators import rain as batch
 from sparwood.plans import pipeline
 from sparwood.sources import features, geojson, rasters
 from sparwood.streaming import rain as stream
 
 
+class Server(str):
+    asked: list
+
+
 @pytest.fixture
 def server():
     class Handler(BaseHTTPRequestHandler):
-        fails = 1
+        fails, asked = 1, []
 
         def do_GET(self):
+            Handler.asked.append(self.path)
+            if self.path.startswith("/list"):
+                body = "".join(f"<Key>{self.path[6:]}/X@20240131T{h}@0@RATE.h5</Key>" for h in ("0000", "1015", "1030")) if self.path.endswith("/31") else "<none/>"
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(body.encode())
+                return
+            if self.path.startswith("/get"):
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(bytes.fromhex("894844460D0A1A0A" if "broken" not in self.path else "00") + b"x")
+                return
             q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
             if Handler.fails:
                 Handler.fails -= 1
@@ -26,6 +46,9 @@ def server():
             start, count = int(q["startIndex"]), int(q["count"])
             total = 7 if q["typeNames"] != "none" else 0
             short = 1 if q["typeNames"] == "short" and start else 0
+            wanted = re.search(r"id IN \(([\d,]+)\)", q.get("cql_filter", ""))
+            if wanted:
+                total = len(wanted[1].split(","))
             rows = [{"properties": {"id": i, "name": f"n{i}"}, "geometry": {"type": "Point", "coordinates": [i, i]}} for i in range(start, min(total, start + count) - short)]
             body = json.dumps({"totalFeatures": total, "features": rows}).encode()
             self.send_response(200)
@@ -37,7 +60,9 @@ def server():
 
     s = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=s.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{s.server_port}/wfs"
+    url = Server(f"http://127.0.0.1:{s.server_port}/wfs")
+    url.asked = Handler.asked
+    yield url
     s.shutdown()
 
 
@@ -50,7 +75,22 @@ def test_paged_features(spark, server):
     assert features.read_features(spark, server, "none", "id bigint").count() == 0
     with pytest.raises(Exception, match="instead of"):
         features.read_features(spark, server, "short", "id bigint", pageSize="3").collect()
-    assert features.keyed_features(spark, server, "stands", "id bigint", "id", []).count() == 0
+    ids = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 2, None)], "id bigint")
+    del server.asked[:]
+    assert sorted(r.id for r in features.keyed_features(ids.coalesce(1), str(server), "stands", "id bigint, name string", "id", batch=5).collect()) == [0, 1, 2, 3, 4]
+    assert features.keyed_features(ids.where("id > 9"), str(server), "stands", "id bigint", "id").count() == 0
+
+
+def test_filters_go_to_the_server(spark, server):
+    df = features.read_features(spark, str(server), "stands", "id bigint, name string, page_no int", cql=features.annulus_text("shape", 542549, 6588500, 70000, 33000))
+    del server.asked[:]
+    kept = df.where("id >= 2 AND name IN ('n2', 'it''s') AND name IS NOT NULL AND page_no = 0 AND length(name) < 9").collect()
+    sent = parse_qs(urlparse(server.asked[-1]).query)["cql_filter"][0]
+    assert "BEYOND(shape, POINT(6588500.000 542549.000), 33000, meters)" in sent and "id >= 2" in sent and "name IN ('n2','it''s')" in sent and "page_no" not in sent
+    # The server of this test doesn't filter; what was pushed is its affair, what wasn't stays with Spark.
+    assert {r.page_no for r in kept} == {0}
+    with pytest.raises(ValueError):
+        features.annulus_text("shape", 0, 0, 5, 5)
 
 
 def test_guards(spark, tmp_path):
@@ -60,6 +100,10 @@ def test_guards(spark, tmp_path):
     with pytest.raises(RuntimeError):
         features.publish(df.where("id > 1"), str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
+    features.publish(df, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    features.write_layers(df.withColumnRenamed("kood", "title"), str(tmp_path / "deep" / "er" / "layers.json"))
+    assert (tmp_path / "deep" / "er" / "layers.json").read_text() == '[\n  {\n    "id": 1,\n    "title": "a"\n  }\n]\n'
     classes = spark.createDataFrame([("b", "B")], "kood string, kirjeldus string")
     assert features.labelled(df, classes, "kood", "label").first().label is None
     with pytest.raises(ValueError):
@@ -76,15 +120,96 @@ def test_geojson_round_trip(spark, tmp_path):
     assert {(r.id, r.name, r.x, r.y) for r in back.select("id", "name", x.alias("x"), y.alias("y")).collect()} == {(1, "õ", 1.5, 2.5), (2, None, None, None)}
     ring = {"type": "FeatureCollection", "features": [{"properties": {"id": 3}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}]}
     (tmp_path / "c.json").write_text(json.dumps(ring))
-    one = geojson.read_geojson(spark, str(tmp_path / "c.json"), "id bigint").select(geojson.outer_ring(F.col("geometry_type"), F.col("coordinates")).alias("r")).first()
-    assert [(p.x, p.y) for p in one.r] == [(0, 0), (1, 0), (1, 1), (0, 0)]
+    one = geojson.read_geojson(spark, str(tmp_path / "c.json"), "id bigint").select(geojson.shells(F.col("geometry_type"), F.col("coordinates")).alias("r")).first()
+    assert [[(p.x, p.y) for p in r] for r in one.r] == [[(0, 0), (1, 0), (1, 1), (0, 0)]]
+
+
+def test_shapes_as_geojson(spark, tmp_path):
+    hole = "POLYGON ((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))"
+    rows = [("POINT (1.5 -2)", "Point", [1.5, -2]), ("SRID=4326;point z(1 2 3)", "Point", [1, 2]), ("LINESTRING (0 1,2 3)", "LineString", [[0, 1], [2, 3]]),
+            (hole, "Polygon", [[[0, 0], [9, 0], [9, 9], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]]), ("MULTIPOINT ((1 2), (3 4))", "MultiPoint", [[1, 2], [3, 4]]),
+            ("MULTIPOINT (1 2, 3 4)", "MultiPoint", [[1, 2], [3, 4]]), ("MULTIPOINT ((1 2))", "MultiPoint", [[1, 2]]), ("POLYGON EMPTY", None, None), (None, None, None), ("", None, None)]
+    df = spark.createDataFrame([(i, w) for i, (w, _, _) in enumerate(rows)], "id int, w string")
+    geojson.write_shapes(df, str(tmp_path / "s"), "w")
+    found = {}
+    for f in (tmp_path / "s").glob("*.txt"):
+        for line in f.read_text().splitlines():
+            one = json.loads(line)
+            found[one["properties"]["id"]] = one["geometry"]
+    assert found == {i: None if k is None else {"type": k, "coordinates": c} for i, (_, k, c) in enumerate(rows)}
+    many = spark.createDataFrame([("MultiPolygon", json.dumps([[[[0, 0], [1, 0], [1, 1]]], [[[5, 5], [6, 5], [6, 6]], [[5.1, 5.1], [5.2, 5.1], [5.2, 5.2]]]]))], "k string, c string")
+    parts = many.select(geojson.polygons(F.col("k"), F.col("c")).alias("p")).first().p
+    assert [len(p) for p in parts] == [1, 2]
+    geojson.write_metric(spark.createDataFrame([(542549.0, 6588500.0)], "x double, y double"), str(tmp_path / "m"), "x", "y")
+    (lon, lat) = json.loads("".join(f.read_text() for f in (tmp_path / "m").glob("*.txt")))["geometry"]["coordinates"]
+    assert lon == pytest.approx(24.75, abs=0.02) and lat == pytest.approx(59.43, abs=0.02)
+
+
+def test_projections_and_back(spark):
+    df = spark.createDataFrame([(i, lon, lat) for i, (lon, lat) in enumerate([(24.0, 58.5), (10.0, 55.0), (-5.0, 38.0), (30.0, 69.0)])], "i int, lon double, lat double")
+    for c in (crs.ESTONIA, crs.NORDIC, crs.RADAR, crs.WEB, crs.Azimuthal(60, 20, f=0.0)):
+        x, y = crs.forward(F.col("lon"), F.col("lat"), c)
+        lon, lat = crs.inverse(F.col("x"), F.col("y"), c)
+        for r in df.withColumns({"x": x, "y": y}).withColumns({"lon2": lon, "lat2": lat}).collect():
+            assert (r.lon2, r.lat2) == (pytest.approx(r.lon, abs=1e-9), pytest.approx(r.lat, abs=1e-9)), (c, r)
+    # A worked example of the formulas' source: Clarke 1866, centre 40 N 100 W, point 30 N 110 W.
+    x, y = crs.forward(F.lit(-110.0), F.lit(30.0), crs.Azimuthal(40.0, -100.0, a=6378206.4, f=1 / 294.9786982))
+    got = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert got.x == pytest.approx(-965932.1, abs=0.2) and got.y == pytest.approx(-1056814.9, abs=0.2)
+    assert crs.parse("+proj=laea +lat_0=55.0 +lon_0=10.0 +x_0=1950000.0 +y_0=-2100000.0 +units=m +ellps=WGS84") == crs.RADAR
+    assert crs.parse("+proj=lcc +lat_0=63 +lon_0=15 +lat_1=63 +lat_2=63 +no_defs +R=6371000") == crs.NORDIC
+    with pytest.raises(ValueError):
+        crs.parse("+proj=stere")
+
+
+def test_incremental_fetch_expiry_and_slices(spark, server, tmp_path):
+    base = str(server).rsplit("/", 1)[0]
+    days = rasters.days_due(spark, "2024-01-29 12:00:00", "2024-01-31 10:20:00")
+    assert [(str(r.day), r.bucket) for r in days.orderBy("day").collect()] == [("2024-01-29", "archive"), ("2024-01-30", "recent"), ("2024-01-31", "recent")]
+    due = rasters.objects_due(days, base + "/list/{bucket}/{prefix}", "2024-01-29 12:00:00", "2024-01-31 10:15:00")
+    assert sorted((r.bucket, str(r.ts)) for r in due.collect()) == [("recent", "2024-01-31 00:00:00"), ("recent", "2024-01-31 10:15:00")]
+    folder = str(tmp_path / "cache")
+    assert [r.fetched for r in rasters.download(due, base + "/get/", folder).collect()] == [True, True]
+    del server.asked[:]
+    assert [r.fetched for r in rasters.download(due, base + "/get/", folder).collect()] == [False, False] and not [a for a in server.asked if a.startswith("/get")]
+    with pytest.raises(Exception, match="not an HDF5 file"):
+        rasters.download(due.withColumns({"key": F.lit("broken"), "ts": F.col("ts") - F.expr("INTERVAL 1 DAY")}), base + "/get/", folder).collect()
+    (tmp_path / "cache" / "20230101T000000Z_ACRR.h5").write_text("x")
+    assert rasters.file_coverage(rasters.files(spark, folder), "2024-01-31 10:30:00", {3: 4}).first()[0] == 0.5
+    with pytest.raises(Exception, match="coverage outside"):
+        rasters.file_coverage(rasters.files(spark, folder), "2024-01-31 10:30:00", {3: 1}).collect()
+    assert rasters.expire(spark, folder, "2024-01-31 10:15:00").count() == 1
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["20230101T000000Z_ACRR.h5", "20240131T101500Z_RATE.h5"]
+    (tmp_path / "geo.json").write_text(json.dumps({"projdef": "+proj=laea +lat_0=55 +lon_0=10 +x_0=1950000 +y_0=-2100000 +ellps=WGS84", "xsize": 1900, "ysize": 2200, "xscale": 2000.0, "yscale": 2000.0, "ul_lon": -39.5, "ul_lat": 67.0}))
+    geo = rasters.georefs(spark, str(tmp_path / "geo.json")).first().asDict()
+    r0, r1, c0, c1 = rasters.area_slice(geo, spark, (24.0, 58.5, 25.0, 59.0))
+    px = spark.createDataFrame([(r, c) for r in (r0 + 5, r1 - 6) for c in (c0 + 5, c1 - 6)], "row int, col int")
+    at = [(r.x, r.y) for r in rasters.pixel_places(px, geo).collect()]
+    x, y = crs.forward(F.lit(24.5), F.lit(58.75))
+    mid = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert 0 <= r0 < r1 <= 2200 and 0 <= c0 < c1 <= 1900 and min(a for a, _ in at) < mid.x < max(a for a, _ in at) and min(b for _, b in at) < mid.y < max(b for _, b in at)
+
+
+def test_air_grid(spark):
+    hours = spark.createDataFrame([(datetime(2024, 1, 31, h),) for h in (1, 2, 3)], "hour timestamp_ntz")
+    row = lambda h, v: (datetime(2024, 1, 31, h), 0.0, 0.0, v, 0.5)
+    kinds = "hour timestamp_ntz, x double, y double, air_temperature_2m double, relative_humidity_2m double"
+    got = rasters.hourly(hours, spark.createDataFrame([row(1, 280.0), row(9, 1.0)], kinds), spark.createDataFrame([row(1, 1.0), row(3, 290.0)], kinds))
+    points = {r.hour.hour: r for r in rasters.air_points(got).collect()}
+    assert {h: round(r.temp, 2) for h, r in points.items()} == {1: 6.85, 3: 16.85} and points[1].rh == 50.0
+    x, y = crs.forward(F.lit(15.0), F.lit(63.0))
+    assert points[1].x == pytest.approx(spark.range(1).select(x).first()[0], abs=1e-3)
+    url = rasters.hour_url(F.col("hour"), "http://h/{year}/{month}/{day}/f_{year}{month}{day}T{hour}Z.nc")
+    assert hours.select(url.alias("u")).first().u == "http://h/2024/01/31/f_20240131T01Z.nc"
+    q = spark.createDataFrame([(1, 10.0, 0.5), (1, None, 0.5), (2, None, None)], "px int, raw double, gain double").withColumn("quality", rasters.quality(F.col("raw"), F.col("gain"), F.lit(None)))
+    assert {r.px: r.quality_mean for r in rasters.mean_quality(q).collect()} == {1: 5.0, 2: None}
 
 
 def test_rasters(spark, tmp_path):
     for n in ("20240131T101500Z_RATE.h5", "20240131T103000Z_RATE.h5"):
         (tmp_path / n).write_bytes(bytes.fromhex("894844460D0A1A0A") + b"x")
     (tmp_path / "other.txt").write_text("x")
-    files = rasters.cached(spark, str(tmp_path), "2024-01-31 10:15:00", "2024-01-31 10:30:00").collect()
+    files = rasters.checked(rasters.cached(spark, str(tmp_path), "2024-01-31 10:15:00", "2024-01-31 10:30:00")).collect()
     assert [(r.ts, r.valid) for r in files] == [(datetime(2024, 1, 31, 10, 15), True)]
     (tmp_path / "list.xml").write_text("<r><Key>2024/01/31/OPERA@20240131T1015@0@RATE.h5</Key><Key>x@20240131T1015@0@ACRR.h5</Key></r>")
     assert [r.ts for r in rasters.listed(spark, str(tmp_path / "list.xml")).collect()] == [datetime(2024, 1, 31, 10, 15)]
@@ -102,5 +227,28 @@ def test_streams_equal_batch(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted((r.slots, r.event_mm) for r in spark.table("ev").collect()) == [(1, 1.0), (2, 3.0)]
     r = spark.table("run").first()
-    assert (r.max_24h_mm, r.total_mm, r.last_wet) == (4.0, 4.0, base.replace(hour=12, minute=1))
+    assert (r.max_24h_rain_14d, r.rain_14d_mm, r.as_of) == (4.0, 4.0, base.replace(hour=13, minute=15))
     assert spark.table("q").where("valid > 0").count() == 4 and spark.table("day").agg(F.max("day_mm")).first()[0] == 4.0
+
+
+def test_running_features_equal_batch_whatever_the_order(spark, tmp_path):
+    rng = random.Random(12)
+    base = datetime(2024, 1, 1)
+    kinds = "px bigint, ts timestamp, rate double"
+    rows = [(px, base + timedelta(minutes=15 * k), rng.choice([None, 0.0, 0.0, rng.uniform(0, 40)])) for px in (1, 2) for k in [*rng.sample(range(1600), 250), 1600]]
+    batches = [rows[i::4] for i in (2, 0, 3, 1)]
+    for n, b in enumerate(batches):
+        spark.createDataFrame(b, kinds).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    slots = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = stream.running(slots).writeStream.format("memory").queryName("all").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(180)
+    got = {r.px: r for r in sorted(spark.table("all").collect(), key=lambda r: r.as_of)}
+    for px in (1, 2):
+        now = str(got[px].as_of)
+        df = spark.createDataFrame([r for r in rows if r[0] == px], kinds).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        want = batch.features(df, now).first()
+        last = [r for r in spark.table("all").where(F.col("px") == px).collect()][-1]
+        for name in stream._NAMES:
+            assert last[name] == (pytest.approx(want[name], abs=1e-9) if want[name] is not None else None), (px, name)
+    f = stream.gated(spark.createDataFrame([tuple(got[1])], spark.table("all").schema), F.lit(1.0), F.lit(1.0)).first()
+    assert f.quality == "partial_radar_gap_3d;partial_radar_gap_7d;partial_radar_gap_14d" and f.rain_14d_mm is None
