@@ -303,6 +303,15 @@ def forest_blocks(spark, d):
     return Stages(spark, d).plan("blocks").groupBy("block_id", "root").agg(F.count("*").alias("n_stands"))
 
 
+@query
+def block_rollup(spark, d):
+    """Stands, extent and flag of every block of linked stands."""
+    placed = Stages(spark, d)["blocks"].select("id", "block_id").join(view(spark, d, "stand").select("id", "x", "y"), "id")
+    counts = placed.groupBy("block_id").agg(F.count("*").alias("n_stands"))
+    e = counts.join(shapes.group_extent(placed, "block_id"), "block_id")
+    return e.select("block_id", "n_stands", r("extent_m").alias("extent_m"), (F.col("extent_m") > P.BLOCK_EXTENT_M).alias("oversized"))
+
+
 def _blocks(spark, d) -> DataFrame:
     """Customers as blocks of their orders' stands (as many as the tables have, of bounded size)."""
     s = view(spark, d, "stand").select("id", "x", "y").join(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("block_id")), "id")

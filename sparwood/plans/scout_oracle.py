@@ -151,6 +151,8 @@ _FR |= {
     "behind": "SELECT region, species, by_pos AS pos, count(*) AS n, max(score) AS best FROM settled WHERE by_pos IS NOT NULL GROUP BY region, species, by_pos",
     "examples": """SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.region, s.species, s.by_pos ORDER BY s.pos) AS nth FROM settled s
       JOIN chosen c ON c.region = s.region AND c.species = s.species AND c.pos = s.by_pos) WHERE nth <= 3""",
+    "members": """SELECT id, min(id) OVER (PARTITION BY c, island) AS root FROM (SELECT o.o_custkey AS c, o.o_orderkey AS id, sum(CASE WHEN e.id_b IS NULL THEN 1 ELSE 0 END)
+        OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS island FROM orders o LEFT JOIN edge e ON e.id_b = o.o_orderkey)""",
     "far": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY ecotone DESC, id_a, id_b) AS rank,
       CASE WHEN NOT eligible THEN 'REMOTE_BY_V1_ACCESS_PROXY' ELSE 'MISSING_FRUITING_DATA' END AS exclusion_reason FROM long WHERE ecotone IS NOT NULL AND score IS NULL) WHERE rank <= 10""",
 }
@@ -259,6 +261,9 @@ ORACLE = {
     "forest_blocks": """SELECT row_number() OVER (ORDER BY root) - 1 AS block_id, root, n_stands FROM (
       SELECT min(id) AS root, count(*) AS n_stands FROM (SELECT o.o_custkey AS c, o.o_orderkey AS id, sum(CASE WHEN e.id_b IS NULL THEN 1 ELSE 0 END)
         OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS island FROM orders o LEFT JOIN edge e ON e.id_b = o.o_orderkey) GROUP BY c, island)""",
+    "block_rollup": f"""SELECT row_number() OVER (ORDER BY root) - 1 AS block_id, n_stands, {_r('m', 8, 'extent_m')}, m > 25000 AS oversized FROM (
+      SELECT a.root, count(DISTINCT a.id) AS n_stands, max(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS m FROM members a JOIN members b ON b.root = a.root
+        JOIN stand p ON p.id = a.id JOIN stand q ON q.id = b.id GROUP BY a.root)""",
     "block_extent": f"""SELECT block_id, {_r('m', 8, 'extent_m')}, m > 25000 AS oversized FROM (SELECT a.o_custkey AS block_id, max(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS m
       FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey JOIN stand p ON p.id = a.o_orderkey JOIN stand q ON q.id = b.o_orderkey GROUP BY a.o_custkey)""",
     "block_proximity": f"""SELECT a.rid AS id_a, b.rid AS id_b, {_r('3 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)', 8, 'distance_m')} FROM road a JOIN road b
