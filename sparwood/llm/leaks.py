@@ -44,6 +44,9 @@ BETWEEN = 2
 #: most. A run leaves a phrase for each word beyond three, and one with the run after it. Runs of three leave fewest, four in
 #: 20 words; the start of a phrase over a difference is five words before the next at most (2 + 2 + 1).
 FEW, STEP = 4, 5
+#: Words by which a passage can begin before its first phrase, and end behind the start of its last one, with some to spare: one
+#: word of a first run of three; six words of the phrase, a difference of two and a last word.
+BEFORE, BEHIND = 3, 12
 
 _UNSPACED = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿຀-໿က-႟ក-៿"
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]*)+")
@@ -189,7 +192,8 @@ def _aligned(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, hits: np.nda
     BETWEEN words agreed since the last difference; of several, that of the longest passage. Two differences may fall
     together once in a passage: texts made from templates agree over long stretches but for whole phrases.
     """
-    lo, hi = max(0, int(hits[:, 0].min()) - 2 * CHARACTERS), min(len(doc), int(hits[:, 0].max()) + 2 * CHARACTERS)
+    lo, hi = max(0, int(hits[:, 0].min()) - BEFORE), min(len(doc), int(hits[:, 0].max()) + BEHIND)
+    first, last = int(hits[:, 1].min()) - BEFORE, int(hits[:, 1].max()) + BEHIND
     near = {int(d) + k for d in np.unique(hits[:, 0] - hits[:, 1]) for k in range(-4, 5)}
     places = places or Places(item, weight)
     of, by_place, unspaced = places.of, places.before, places.unspaced
@@ -198,7 +202,7 @@ def _aligned(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, hits: np.nda
     out: dict[tuple[int, int], tuple[int, int, float]] = {}
     for j, w in enumerate(doc[lo:hi].tolist(), lo):
         for i in of.get(w, ()):
-            if j - i not in near:
+            if not first <= i <= last or j - i not in near:
                 continue
             for twice in (0, 1):
                 p = cells.get((j - 1, i - 1, twice))
