@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from sparwood.session import clean_up
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -9,3 +11,9 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def tidy():
+    yield
+    clean_up()
