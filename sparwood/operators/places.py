@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wkt
+from ..functions.scoring import species_key
 from ..session import stored, table
 from . import spatial
 
@@ -17,11 +18,6 @@ TOLERANCE_M = 1.0
 CAR_CLASSES = ("HIGH_CONFIDENCE", "NORMAL", "CONDITIONAL")
 
 
-def species_key(c: Column) -> Column:
-    """Spelling of a species made comparable: trimmed, lower case, hyphens and blanks as underscores; blank text is null."""
-    return F.nullif(F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[-\s]", "_"), F.lit(""))
-
-
 def candidate_places(candidates: DataFrame) -> DataFrame:
     """Candidates with a place, stored once for the three checks that read them."""
     c = candidates.select(
