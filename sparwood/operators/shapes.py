@@ -450,33 +450,101 @@ def near_shapes(shapes: DataFrame, radius: float) -> DataFrame:
     return pairs.mapInArrow(run, f"id_a {kind}, id_b {kind}, distance_m double")
 
 
+#: Points up to which all pairs of a group are compared and none is dropped before the shuffle; rows that a task holds at once.
+_FEW, _HELD = 256, 200_000
+
+
+def _outer(points: np.ndarray) -> np.ndarray:
+    """Hull corners; points inside the polygon of the farthest ones along eight directions are dropped before."""
+    a = np.arange(8) * math.pi / 4
+    e = points[np.argmax(points @ np.stack([np.cos(a), np.sin(a)]), 0)]
+    far = np.ones(len(points), bool)
+    if len(ring := hull(e)) > 2:
+        # A hair of the shape's size against rounding: a point that stays costs time only.
+        slack = 1e-12 * float(np.abs(ring).max()) * float(np.ptp(ring, 0).max())
+        turn = [(x2 - x1) * (points[:, 1] - y1) - (y2 - y1) * (points[:, 0] - x1) for x1, y1, x2, y2 in segments(ring)]
+        far = np.min(turn, 0) <= slack
+    return hull(points[far])
+
+
+def extents(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """:func:`extent` of many groups, whose points lie one after the other: of few points pairwise, all groups of one size at once."""
+    out, start = np.zeros(len(size)), np.cumsum(size) - size
+    for n in np.unique(size[size > 1]).tolist():
+        of = np.flatnonzero(size == n)
+        if n > _FEW:
+            for k in of:
+                out[k] = extent(_outer(np.stack([x[start[k] : start[k] + n], y[start[k] : start[k] + n]], 1)))
+            continue
+        step = max(1, (1 << 18) // n)
+        for part in (of[i : i + step] for i in range(0, len(of), step)):
+            at = start[part] + np.arange(n)[:, None]
+            u, v, best = x[at], y[at], np.zeros(len(part))
+            for k in range(1, n // 2 + 1):  # points set against themselves turned by k places: every pair once at least
+                np.maximum(best, np.hypot(u - np.roll(u, k, 0), v - np.roll(v, k, 0)).max(0), out=best)
+            out[part] = best
+    return out
+
+
 def group_extent(points: DataFrame, key: str) -> DataFrame:
     """key, extent_m: largest distance between two points of a group.
 
-    Hulls are built per task before the shuffle and merged after it, so that a group sends its corners only.
+    Before the shuffle a task puts hull corners in the place of many points of a group; after it rows come sorted by group,
+    so a task holds some rows and the corners of one group. Groups of few points are handled by the array, not one by one.
     """
     kind = dict(points.dtypes)[key]
 
-    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
+    def grouped(held: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in the order in which they come, their points one after the other, and how many each has."""
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = rows.column(0).combine_chunks().dictionary_encode()
+        code = keys.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        x, y = (rows.column(k).to_numpy()[order] for k in (1, 2))
+        return keys.dictionary, x, y, np.bincount(code, minlength=len(keys.dictionary))
+
+    def rows_of(keys: pa.Array, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(x), pa.array(y)], [key, "x", "y"])
+
+    def thinned(keys: pa.Array, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        many, start = np.flatnonzero(size > _FEW), np.cumsum(size) - size
+        keep, size = np.repeat(size <= _FEW, size), size.copy()
+        xs, ys = [x[keep]], [y[keep]]
+        for k in many:
+            h = _outer(np.stack([x[start[k] : start[k] + size[k]], y[start[k] : start[k] + size[k]]], 1))
+            xs.append(h[:, 0]), ys.append(h[:, 1])
+            size[k] = len(h)
+        order = np.concatenate([np.setdiff1d(np.arange(len(size)), many), many]).astype(int)
+        return rows_of(keys.take(pa.array(order)), np.concatenate(xs), np.concatenate(ys), size[order])
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for rows in batches:
-            for k, g in rows.groupby(key, sort=False):
-                pts = g[["x", "y"]].to_numpy(float)
-                held[k] = hull(np.vstack([held[k], pts]) if k in held else pts)
-            if sum(map(len, held.values())) > 200_000:
-                yield from (pd.DataFrame({key: k, "x": h[:, 0], "y": h[:, 1]}) for k, h in held.items())
-                held = {}
+            held.append(rows)
+            if sum(b.num_rows for b in held) > _HELD:
+                held = [thinned(*grouped(held))]
+                if held[0].num_rows > _HELD // 2:
+                    yield held.pop()
         if held:
-            yield pd.concat([pd.DataFrame({key: k, "x": h[:, 0], "y": h[:, 1]}) for k, h in held.items()])
+            yield thinned(*grouped(held))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(keys: pa.Array, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, pa.array(extents(x, y, size))], [key, "extent_m"])
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
         for rows in batches:
-            for k, g in rows.groupby(key, sort=False):
-                pts = g[["x", "y"]].to_numpy(float)
-                held[k] = hull(np.vstack([held[k], pts])) if k in held else pts
+            held.append(rows)
+            if sum(b.num_rows for b in held) > _HELD:
+                keys, x, y, size = grouped(held)
+                last = size[-1]  # the last group may go on in the next batch
+                if len(size) > 1:
+                    yield done(keys[:-1], x[:-last], y[:-last], size[:-1])
+                held = [thinned(keys[-1:], x[-last:], y[-last:], size[-1:])]
         if held:
-            yield pd.DataFrame({key: list(held), "extent_m": [extent(h) for h in held.values()]})
+            yield done(*grouped(held))
 
     p = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
-    return p.mapInPandas(corners, f"`{key}` {kind}, x double, y double").repartition(key).mapInPandas(merged, f"`{key}` {kind}, extent_m double")
+    p = p.mapInArrow(corners, f"`{key}` {kind}, x double, y double").repartition(key).sortWithinPartitions(key)
+    return p.mapInArrow(merged, f"`{key}` {kind}, extent_m double")
