@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import priors as P
@@ -407,27 +407,52 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(meet | holds(b, b2, a[:, 0]) | holds(a, a2, b[:, 0]), 0.0, apart)
 
 
+def _upright(xs: Column, ys: Column) -> Column:
+    """Whether a shape is its own box: a point, a line along an axis, or a rectangle along the axes, closed or not."""
+    x, y = (lambda k: F.get(xs, F.lit(k))), (lambda k: F.get(ys, F.lit(k)))
+    flat = lambda u, v: (u(0) == u(1)) & (v(1) == v(2)) & (u(2) == u(3)) & (v(3) == v(0))
+    n, four = F.size(xs), flat(x, y) | flat(y, x)
+    return F.coalesce((n == 1) | ((n == 2) & ((x(0) == x(1)) | (y(0) == y(1)))) | ((n == 4) & four) | ((n == 5) & four & (x(4) == x(0)) & (y(4) == y(0))), F.lit(False))
+
+
+def _box_pairs(a: DataFrame, b: DataFrame, radius: float, size: float, slack: float = 0.0) -> DataFrame:
+    """Rows of a (columns a.*) and b (b.*) whose boxes (x0, x1, y0, y1) are at most radius and slack apart, with this distance as gap.
+
+    An equi-join on grid cells of the boxes of a, and of those of b grown by the radius; a pair counts in the cell of the
+    lower left corner that they have in common. Cells are spread over many tasks, as few rows may make many pairs.
+    """
+    grow = radius + 1  # against rounding
+    tasks = 8 * a.sparkSession.sparkContext.defaultParallelism
+
+    def cells(df: DataFrame, name: str, by: float) -> DataFrame:
+        at = lambda c, s: F.floor((F.col(c) + s * by) / size)
+        df = df.withColumns({"lx": at("x0", -1), "ly": at("y0", -1), "cx": F.explode(F.sequence(at("x0", -1), at("x1", 1)))})
+        return df.withColumn("cy", F.explode(F.sequence("ly", at("y1", 1)))).repartition(tasks, "cx", "cy").alias(name)
+
+    off = lambda v: F.greatest(F.col(f"a.{v}0") - F.col(f"b.{v}1"), F.col(f"b.{v}0") - F.col(f"a.{v}1"), F.lit(0.0))
+    gap = F.sqrt(off("x") * off("x") + off("y") * off("y"))
+    same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    own = (F.col("a.cx") == F.greatest("a.lx", "b.lx")) & (F.col("a.cy") == F.greatest("a.ly", "b.ly"))
+    return cells(a, "a", 0).join(cells(b, "b", grow), same & (off("x") <= radius + slack) & (off("y") <= radius + slack) & (gap <= radius + slack) & own).withColumn("gap", gap)
+
+
 def near_shapes(shapes: DataFrame, radius: float) -> DataFrame:
     """id_a < id_b, distance_m of polygons whose boundaries are at most radius apart (0 if they touch or overlap).
 
     shapes: id (unique), ring (array of x, y structs; one corner is a point, two a line; without any it pairs with nothing).
-    Candidate pairs come from an equi-join on the grid cells of the boxes, grown by half the radius and a metre against
-    rounding, and a box test; a pair counts in the cell of its boxes' common lower left corner only. Rings are measured
-    exactly, in Arrow batches.
+    Candidate pairs come from a join of their boxes. Of two shapes that are their own boxes the boxes' distance is that of the
+    shapes; all others are measured exactly, in Arrow batches.
     """
-    grow, size = radius / 2 + 1, 2 * radius
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = shapes.where(F.size("ring") > 0).select(
-        "id", xs.alias("xs"), ys.alias("ys"), (F.array_min(xs) - grow).alias("x0"), (F.array_max(xs) + grow).alias("x1"), (F.array_min(ys) - grow).alias("y0"), (F.array_max(ys) + grow).alias("y1")
-    )
-    at = lambda c: F.floor(F.col(c) / size)
-    cells = box.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    a, b = cells.alias("a"), cells.alias("b")
-    own = (F.col("a.cx") == F.floor(F.greatest("a.x0", "b.x0") / size)) & (F.col("a.cy") == F.floor(F.greatest("a.y0", "b.y0") / size))
-    meet = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
-    same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-    pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & meet & own)
-    pairs = pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.xs").alias("xa"), F.col("a.ys").alias("ya"), F.col("b.xs").alias("xb"), F.col("b.ys").alias("yb"))
+    box = shapes.where(F.size("ring") > 0).select("id", xs.alias("xs"), ys.alias("ys"), *[f(c).alias(f"{v}{k}") for v, c in (("x", xs), ("y", ys)) for k, f in ((0, F.array_min), (1, F.array_max))])
+    box = box.withColumn("upright", _upright(F.col("xs"), F.col("ys")))
+    slim = box.where("upright").select("id", "x0", "x1", "y0", "y1")
+    ids = F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")
+    simple = _box_pairs(slim, slim, radius, radius).where("a.id < b.id").select(*ids, F.col("gap").alias("distance_m"))
+
+    odd = box.where("NOT upright")
+    pairs = _box_pairs(odd, box, radius, 2 * radius, 1.0).where("a.id < b.id OR (b.upright AND a.id > b.id)")
+    pairs = pairs.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), F.col("a.xs").alias("xa"), F.col("a.ys").alias("ya"), F.col("b.xs").alias("xb"), F.col("b.ys").alias("yb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -447,7 +472,7 @@ def near_shapes(shapes: DataFrame, radius: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keep)), rows.column(1).take(pa.array(keep)), pa.array(gap[keep], pa.float64())], ["id_a", "id_b", "distance_m"])
 
     kind = dict(shapes.dtypes)["id"]
-    return pairs.mapInArrow(run, f"id_a {kind}, id_b {kind}, distance_m double")
+    return simple.union(pairs.mapInArrow(run, f"id_a {kind}, id_b {kind}, distance_m double"))
 
 
 #: Points up to which all pairs of a group are compared and none is dropped before the shuffle; rows that a task holds at once.
