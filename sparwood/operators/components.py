@@ -2,11 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_stored, stored
 from .ordering import numbered_rows
+from .spatial import small
+
+
+#: Edges that a task of :func:`forest` holds before it reduces them; if more than half are left, they go out.
+_HELD = 2_000_000
+
+
+def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges u, v, sorted, and the smallest node that each hangs together with."""
+    coded = pa.array(np.concatenate([u, v])).dictionary_encode()
+    nodes = coded.dictionary.to_numpy()
+    order = np.argsort(nodes)
+    rank = np.empty(len(nodes), int)
+    rank[order] = np.arange(len(nodes))
+    nodes, (a, b) = nodes[order], rank[coded.indices.to_numpy()].reshape(2, -1)
+    low = np.arange(len(nodes))
+    while len(a):
+        # Roots take the smallest root they are linked to, then all look up to their roots; edges within a tree are dropped.
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while (nxt := low[low]).tobytes() != low.tobytes():
+            low = nxt
+        a, b = low[a], low[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return nodes, nodes[low]
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """u > v: edges that connect what the edges u, v (bigint, no nulls) connect, at most one for each node a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def reduced() -> np.ndarray:
+            nodes, low = joined(*np.concatenate(held, 1))
+            return np.stack([nodes, low])[:, nodes != low]
+
+        def rows(e: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["u", "v"])
+
+        for b in batches:
+            held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+            size += b.num_rows
+            if size > _HELD:
+                held = [reduced()]
+                size = held[0].shape[1]
+                if size > _HELD // 2:
+                    yield rows(held.pop())
+                    size = 0
+        if held:
+            yield rows(reduced())
+
+    return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
 
 
 def components(vertices: DataFrame, edges: DataFrame, id_: str = "id", a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -14,10 +72,14 @@ def components(vertices: DataFrame, edges: DataFrame, id_: str = "id", a: str =
 
     A star step links every node's neighbours to its smallest neighbour (Kiveris et al. 2014). Each step is an aggregate
     and a join on the node, written to the shared folder; the number of steps grows with the logarithm of the size.
+    Before the first step each task reduces its edges to a forest, if nodes are whole numbers.
     """
-    v = vertices.select(F.col(id_).alias("id")).where(F.col("id").isNotNull()).distinct()
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).dropna().where("u != v").distinct()
-    e = stored(e.join(v.withColumnRenamed("id", "u"), "u", "left_semi").join(v.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), "edges")
+    v = stored(vertices.select(F.col(id_).alias("id")).where(F.col("id").isNotNull()).distinct(), "nodes")
+    known = small(v)
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).dropna().where("u != v")
+    e = e.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
+    whole = {t for _, t in [*v.dtypes, *e.dtypes]} == {"bigint"}
+    e = stored((forest(e) if whole else e).distinct(), "edges")
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         near = pairs.union(pairs.select(F.col("v"), F.col("u"))) if large else pairs

@@ -11,6 +11,7 @@ from ..functions import priors as P
 from ..session import stored
 from .components import components
 from .shapes import extent, group_extent, hull
+from .spatial import small
 
 
 # Directions in which clusters' reaches are held: the farthest points of two clusters lie within 22.5 degrees of one of them.
@@ -23,56 +24,75 @@ def _farthest(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]).max())
 
 
+class _Grid:
+    """Points at the given places of an array, in cells of two on the average."""
+
+    def __init__(self, points: np.ndarray, at: np.ndarray):
+        p = points[at]
+        self.low, span = p.min(0), np.ptp(p, 0)
+        self.cell = float(max(np.sqrt(2 * span.prod() / len(at)), 2 * span.max() / len(at))) or 1.0
+        self.shape = (span // self.cell).astype(int) + 1
+        x, y = ((p - self.low) // self.cell).astype(int).T
+        code = y * self.shape[0] + x
+        order = np.argsort(code, kind="stable")
+        self.at, self.start = at[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=self.shape.prod()))]).tolist()
+
+    def around(self, point: np.ndarray, width: int) -> tuple[np.ndarray, bool]:
+        """Places of the points in the cells up to width from the point's cell, all those nearer than width cells among them; whether these are all."""
+        cx, cy = ((point - self.low) // self.cell).astype(int).tolist()
+        nx, ny = self.shape.tolist()
+        x0, x1, y0, y1 = max(cx - width, 0), min(cx + width, nx - 1), max(cy - width, 0), min(cy + width, ny - 1)
+        if x1 - x0 == nx - 1 and y1 - y0 == ny - 1:
+            return self.at, True
+        return np.concatenate([self.at[self.start[y * nx + x0] : self.start[y * nx + x1 + 1]] for y in range(y0, y1 + 1)]), False
+
+
 def complete_linkage(points: np.ndarray, threshold: float) -> np.ndarray:
     """Label of each point: clusters whose largest inner distance is at most threshold, by nearest-neighbour chains.
 
     Clusters are held as hull corners and their reaches along fixed directions, never as a matrix: memory grows with the
     points. A sum of reaches is at least _SURE of the distance between two clusters and at most all of it, so the hulls of
-    the few clusters that may be nearest are compared only.
+    the few clusters that may be nearest are compared only. They are looked for in a grid of the clusters' smallest points:
+    two clusters are at least as far apart as these.
     """
     n = len(points)
     points = np.asarray(points, float)
     label = np.arange(n)
     corners = [points[i : i + 1] for i in range(n)]
-    at = np.arange(n)  # clusters in the rows of high and low, in order; those gone are taken out now and then
     high = points @ _AXES
     low = high.copy()
     live = np.ones(n, bool)
-    left, first, gone_rows = n, 0, 0
-    row_of = np.arange(n)
+    left, first = n, 0
+    grid = _Grid(points, label)
     chain: list[int] = []
 
-    def drop(k: int) -> None:
-        nonlocal left, gone_rows
-        live[k] = False
-        high[row_of[k]], low[row_of[k]] = np.inf, -np.inf
-        left, gone_rows = left - 1, gone_rows + 1
-
     while left > 1:
-        if gone_rows > len(at) // 4:
-            kept = live[at]
-            at, high, low, gone_rows = at[kept], high[kept], low[kept], 0
-            row_of[at] = np.arange(len(at))
+        if left < 0.75 * len(grid.at):
+            grid = _Grid(points, np.flatnonzero(live))
         if not chain:
             while not live[first]:
                 first += 1
             chain = [first]
         top = chain[-1]
-        h, w = high[row_of[top]], low[row_of[top]]
-        bound = np.maximum(high[:, 0] - w[0], h[0] - low[:, 0])
-        for k in range(1, _AXES.shape[1]):
-            np.maximum(bound, high[:, k] - w[k], out=bound)
-            np.maximum(bound, h[k] - low[:, k], out=bound)
-        bound[row_of[top]] = np.inf
-        least = min(float(bound.min()) / _SURE, threshold)
+        h, w, width = high[top], low[top], 2
+        while True:
+            some, whole = grid.around(points[top], width)
+            some = some[live[some]]
+            some = some[some != top]
+            bound = np.maximum(high[some] - w, h - low[some]).max(1)
+            least = min(float(bound.min()) / _SURE if len(bound) else np.inf, threshold)
+            within = least * (1 + 1e-9) + 1e-6
+            if whole or within < width * grid.cell:
+                break
+            width = int(min(within // grid.cell + 2, 2 * width if not len(bound) else np.inf))
         near, best = -1, np.inf
-        for k in at[np.flatnonzero(bound <= least * (1 + 1e-9) + 1e-6)].tolist():
+        for k in np.sort(some[bound <= within]).tolist():
             d = _farthest(corners[top], corners[k])
             if d < best or (d == best and len(chain) > 1 and k == chain[-2]):
                 near, best = k, d
         if best > threshold:
             # Nothing near enough: in complete linkage it comes closer to nothing later.
-            drop(top)
+            live[top], left = False, left - 1
             chain.pop()
             continue
         if len(chain) < 2 or near != chain[-2]:
@@ -83,9 +103,9 @@ def complete_linkage(points: np.ndarray, threshold: float) -> np.ndarray:
         label[gone] = keep
         corners[keep] = hull(np.vstack([corners[keep], corners[gone]]))
         corners[gone] = points[:0]
-        high[row_of[keep]] = np.maximum(high[row_of[keep]], high[row_of[gone]])
-        low[row_of[keep]] = np.minimum(low[row_of[keep]], low[row_of[gone]])
-        drop(gone)
+        high[keep] = np.maximum(high[keep], high[gone])
+        low[keep] = np.minimum(low[keep], low[gone])
+        live[gone], left = False, left - 1
     # A label is always that of a smaller point, so one look from below finds each cluster's smallest.
     for i in range(n):
         label[i] = label[label[i]]
@@ -149,7 +169,7 @@ def clusters(blocks: DataFrame, edges: DataFrame, cap: float = P.CLUSTER_EXTENT_
         return pd.DataFrame(out, columns=["block_id", "part"])
 
     part = stored(rows.groupBy("root").applyInPandas(run, "block_id bigint, part bigint"), "parts")
-    side = lambda k: part.select(F.col("block_id").alias(f"id_{k}"), F.col("part").alias(f"part_{k}"))
+    side = lambda k: small(part).select(F.col("block_id").alias(f"id_{k}"), F.col("part").alias(f"part_{k}"))
     inner = edges.select("id_a", "id_b").join(side("a"), "id_a").join(side("b"), "id_b").where("part_a = part_b")
     return components(part, inner, "block_id").withColumnRenamed("id", "block_id")
 

@@ -18,7 +18,9 @@ QUADRANT = 16
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise (monotone chain)."""
-    p = np.unique(np.asarray(points, float).reshape(-1, 2), axis=0)
+    p = np.asarray(points, float).reshape(-1, 2)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    p = p[np.r_[True, (p[1:] != p[:-1]).any(1)]] if len(p) else p
     if len(p) < 3:
         return p
 
