@@ -36,9 +36,9 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def extent(points: np.ndarray) -> float:
-    """Largest distance between two points: of hull corners, by rotating over them."""
+    """Largest distance between two points: of hull corners, by rotating over them; as the root of the sum of squares, like SQL's."""
     h = hull(points)
-    return max((float(np.hypot(*(h - q).T).max()) for q in h), default=0.0)
+    return math.sqrt(max((float(((h - q) ** 2).sum(1).max()) for q in h), default=0.0))
 
 
 def segments(ring: np.ndarray) -> np.ndarray:
@@ -508,41 +508,41 @@ def extents(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
             at = start[part] + np.arange(n)[:, None]
             u, v, best = x[at], y[at], np.zeros(len(part))
             for k in range(1, n // 2 + 1):  # points set against themselves turned by k places: every pair once at least
-                np.maximum(best, np.hypot(u - np.roll(u, k, 0), v - np.roll(v, k, 0)).max(0), out=best)
-            out[part] = best
+                np.maximum(best, ((u - np.roll(u, k, 0)) ** 2 + (v - np.roll(v, k, 0)) ** 2).max(0), out=best)
+            out[part] = np.sqrt(best)
     return out
 
 
-def group_extent(points: DataFrame, key: str) -> DataFrame:
-    """key, extent_m: largest distance between two points of a group.
+def group_extent(points: DataFrame, key: str, counted: str | None = None) -> DataFrame:
+    """key, extent_m: largest distance between two points of a group; with ``counted`` the number of its points under that name too.
 
     Before the shuffle a task puts hull corners in the place of many points of a group; after it rows come sorted by group,
     so a task holds some rows and the corners of one group. Groups of few points are handled by the array, not one by one.
     """
     kind = dict(points.dtypes)[key]
+    names = [key, "x", "y", *(["n"] if counted else [])]
 
-    def grouped(held: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys in the order in which they come, their points one after the other, and how many each has."""
+    def grouped(held: list[pa.RecordBatch]) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+        """Keys in the order in which they come, the columns of their points one after the other, and how many each has."""
         rows = pa.Table.from_batches(held).combine_chunks()
         keys = rows.column(0).combine_chunks().dictionary_encode()
         code = keys.indices.to_numpy()
         order = np.argsort(code, kind="stable")
-        x, y = (rows.column(k).to_numpy()[order] for k in (1, 2))
-        return keys.dictionary, x, y, np.bincount(code, minlength=len(keys.dictionary))
+        return keys.dictionary, [c.to_numpy()[order] for c in rows.columns[1:]], np.bincount(code, minlength=len(keys.dictionary))
 
-    def rows_of(keys: pa.Array, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(x), pa.array(y)], [key, "x", "y"])
-
-    def thinned(keys: pa.Array, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    def thinned(keys: pa.Array, columns: list[np.ndarray], size: np.ndarray) -> pa.RecordBatch:
         many, start = np.flatnonzero(size > _FEW), np.cumsum(size) - size
         keep, size = np.repeat(size <= _FEW, size), size.copy()
-        xs, ys = [x[keep]], [y[keep]]
+        parts = [[c[keep] for c in columns]]
         for k in many:
-            h = _outer(np.stack([x[start[k] : start[k] + size[k]], y[start[k] : start[k] + size[k]]], 1))
-            xs.append(h[:, 0]), ys.append(h[:, 1])
+            x, y, *n = (c[start[k] : start[k] + size[k]] for c in columns)
+            h = _outer(np.stack([x, y], 1))
+            # The first corner stands for all points that are left out.
+            parts.append([h[:, 0], h[:, 1], *[np.r_[c.sum(), np.zeros(len(h) - 1, c.dtype)] for c in n]])
             size[k] = len(h)
         order = np.concatenate([np.setdiff1d(np.arange(len(size)), many), many]).astype(int)
-        return rows_of(keys.take(pa.array(order)), np.concatenate(xs), np.concatenate(ys), size[order])
+        codes = pa.array(np.repeat(order, size[order]))
+        return pa.RecordBatch.from_arrays([keys.take(codes), *[pa.array(np.concatenate(c)) for c in zip(*parts)]], names)
 
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -558,20 +558,23 @@ def group_extent(points: DataFrame, key: str) -> DataFrame:
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(keys: pa.Array, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([keys, pa.array(extents(x, y, size))], [key, "extent_m"])
+        def done(keys: pa.Array, columns: list[np.ndarray], size: np.ndarray) -> pa.RecordBatch:
+            x, y, *n = columns
+            number = [pa.array(np.add.reduceat(c, np.cumsum(size) - size) if len(c) else c) for c in n]
+            return pa.RecordBatch.from_arrays([keys, pa.array(extents(x, y, size)), *number], [key, "extent_m", *([counted] if counted else [])])
 
         for rows in batches:
             held.append(rows)
             if sum(b.num_rows for b in held) > _HELD:
-                keys, x, y, size = grouped(held)
+                keys, columns, size = grouped(held)
                 last = size[-1]  # the last group may go on in the next batch
                 if len(size) > 1:
-                    yield done(keys[:-1], x[:-last], y[:-last], size[:-1])
-                held = [thinned(keys[-1:], x[-last:], y[-last:], size[-1:])]
+                    yield done(keys[:-1], [c[:-last] for c in columns], size[:-1])
+                held = [thinned(keys[-1:], [c[-last:] for c in columns], size[-1:])]
         if held:
             yield done(*grouped(held))
 
     p = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
-    p = p.mapInArrow(corners, f"`{key}` {kind}, x double, y double").repartition(key).sortWithinPartitions(key)
-    return p.mapInArrow(merged, f"`{key}` {kind}, extent_m double")
+    p = p.withColumn("n", F.lit(1).cast("bigint")) if counted else p
+    p = p.mapInArrow(corners, f"`{key}` {kind}, x double, y double" + ", n bigint" * bool(counted)).repartition(key).sortWithinPartitions(key)
+    return p.mapInArrow(merged, f"`{key}` {kind}, extent_m double" + f", `{counted}` bigint" * bool(counted))

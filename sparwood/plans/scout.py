@@ -17,6 +17,8 @@ from ..operators import composition as C
 from ..operators import partition, rain, shapes, spatial
 from ..operators import shortlist as L
 from ..operators import suppression as N
+from ..operators.ordering import numbered_rows
+from ..session import drop_stored, stored
 from .stages import AIR, BUCKET, RAIN, Stages, met, nearest_roads
 from .views import NOW, SLOTS, view
 
@@ -305,11 +307,14 @@ def forest_blocks(spark, d):
 
 @query
 def block_rollup(spark, d):
-    """Stands, extent and flag of every block of linked stands."""
-    placed = Stages(spark, d)["blocks"].select("id", "block_id").join(view(spark, d, "stand").select("id", "x", "y"), "id")
-    counts = placed.groupBy("block_id").agg(F.count("*").alias("n_stands"))
-    e = counts.join(shapes.group_extent(placed, "block_id"), "block_id")
-    return e.select("block_id", "n_stands", r("extent_m").alias("extent_m"), (F.col("extent_m") > P.BLOCK_EXTENT_M).alias("oversized"))
+    """Stands, extent and flag of every block of linked stands; those of one stand, which are most, need no grouping."""
+    stands = view(spark, d, "stand").select("id", "x", "y").where("id IS NOT NULL").dropDuplicates(["id"])
+    placed = G.rooted(stands, view(spark, d, "edge"))
+    groups = stored(shapes.group_extent(placed.where("root IS NOT NULL"), "root", "n_stands"), "groups")
+    lone = placed.where("root IS NULL").select(F.col("id").alias("root"), F.lit(0.0).alias("extent_m"), F.lit(1).cast("bigint").alias("n_stands"))
+    e = numbered_rows(groups.union(lone), [F.col("root")], "block_id")
+    drop_stored(placed, groups)
+    return e.select((F.col("block_id") - 1).alias("block_id"), "n_stands", r("extent_m").alias("extent_m"), (F.col("extent_m") > P.BLOCK_EXTENT_M).alias("oversized"))
 
 
 def _blocks(spark, d) -> DataFrame:
